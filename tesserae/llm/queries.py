@@ -7,12 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import lookalike, percentiles
+from tesserae.llm import conversations, lookalike, mixing, packing, percentiles, tokens
 from tesserae.sources.tables import cut, table
 
 GROUP = ["repo_id", "variant_name", "day"]
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Conversations to drop."""
+    return conversations.dropped(table(spark, root, "predictions")).select("session_id")
+
+
+def p3_messages(spark: SparkSession, root: str) -> DataFrame:
+    """Ordered messages of the sound conversations."""
+    trees, sessions = conversations.conversations(table(spark, root, "predictions"))
+    return conversations.ordered_messages(trees, sessions)
+
+
+def p3_dropped(spark: SparkSession, root: str) -> DataFrame:
+    """The conversations dropped, each with its first defect."""
+    return conversations.dropped(table(spark, root, "predictions"))
+
+
 def p4_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """Certified percentiles per repository, variant and day."""
     rows = percentiles.with_day(table(spark, root, "predictions"))
@@ -38,8 +54,36 @@ def p6_canonical(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.canonical(texts).select("field", "scope", "key", "canon", "visible")
 
 
+def p7_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's place in containers of each kind."""
+    sizes = cut(tokens.with_token_counts(table(spark, root, "documents"), ["doc_id"]))
+    return packing.pack(sizes, table(spark, root, "pack_limits"))
+
+
+def p7_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Containers used and room left empty per kind."""
+    return packing.fill_report(p7_containers(spark, root), table(spark, root, "pack_limits"))
+
+
+def _mix_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    streams = cut(mixing.token_streams(tokens.with_token_counts(table(spark, root, "documents"), ["source", "doc_id"])))
+    quota = mixing.small(mixing.quotas(streams, table(spark, root, "mix_targets")))
+    return mixing.select(streams, quota), quota
+
+
+def p8_mix(spark: SparkSession, root: str) -> DataFrame:
+    """The records of every mix, in shards, in shuffled order."""
+    chosen, quota = _mix_parts(spark, root)
+    return mixing.mix(chosen, mixing.shard_blocks(quota))
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The shares reached."""
+    return mixing.shares(*_mix_parts(spark, root))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_percentiles, p4_repo_rollup, p6_found, p6_canonical)}
+    return {f.__name__: f for f in (p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p6_found, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import conversations, lookalike, mixing, packing, percentiles, tokens
+from tesserae.llm import conversations, lookalike, mixing, packing, pairs, percentiles, tokens
 from tesserae.sources.tables import cut, table
 
 GROUP = ["repo_id", "variant_name", "day"]
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Defective pairs of question and answer."""
+    both = cut(pairs.question_pairs(table(spark, root, "eval_sessions"), table(spark, root, "query_results")))
+    return pairs.defects(both, pairs.fit(both))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Conversations to drop."""
     return conversations.dropped(table(spark, root, "predictions")).select("session_id")
@@ -83,7 +89,7 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p6_found, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p6_found, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import conversations, lookalike, mixing, packing, pairs, percentiles, tokens
+from tesserae.llm import conversations, lookalike, mixing, packing, pairs, percentiles, tokens, validity
 from tesserae.sources.tables import cut, table
 
 GROUP = ["repo_id", "variant_name", "day"]
@@ -49,6 +49,16 @@ def p4_repo_rollup(spark: SparkSession, root: str) -> DataFrame:
     return percentiles.certify(rows, cut(found), ["repo_id"])
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Files that don't parse."""
+    return validity.invalid(validity.checked(table(spark, root, "source_files"))).select("file_id")
+
+
+def p5_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Invalid files per repository and language."""
+    return validity.rates(validity.checked(table(spark, root, "source_files")))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of texts that differ as stored and look the same."""
     return lookalike.same_look_pairs(lookalike.text_fields(table(spark, root, "query_results"), table(spark, root, "chunks")))
@@ -89,7 +99,7 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p6_found, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p5_found, p5_rates, p6_found, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import conversations, lookalike, mixing, packing, pairs, percentiles, tokens, validity
+from tesserae.llm import conversations, lookalike, mixing, packing, pairs, percentiles, provenance, tokens, validity
 from tesserae.sources.tables import cut, table
 
 GROUP = ["repo_id", "variant_name", "day"]
@@ -19,6 +19,23 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.defects(both, pairs.fit(both))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Files that aren't hand-written."""
+    return provenance.not_handwritten(table(spark, root, "source_files")).select("file_id")
+
+
+def p2_report(spark: SparkSession, root: str) -> DataFrame:
+    """Files left out and kept per repository, by rule."""
+    files = table(spark, root, "source_files")
+    return provenance.repository_report(files, provenance.not_handwritten(files))
+
+
+def p2_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks of hand-written files."""
+    files, chunks = table(spark, root, "source_files"), table(spark, root, "chunks")
+    return provenance.handwritten_chunks(chunks, files, provenance.not_handwritten(files)).select("chunk_no", "repo_id", "rel_path")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Conversations to drop."""
     return conversations.dropped(table(spark, root, "predictions")).select("session_id")
@@ -99,7 +116,7 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p5_found, p5_rates, p6_found, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_chunks, p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p5_found, p5_rates, p6_found, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import conversations, lookalike, mixing, packing, pairs, percentiles, provenance, tokens, validity
+from tesserae.llm import conversations, lookalike, mixing, packing, pairs, percentiles, provenance, reading, tokens, validity
 from tesserae.sources.tables import cut, table
 
 GROUP = ["repo_id", "variant_name", "day"]
@@ -115,8 +115,29 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(*_mix_parts(spark, root))
 
 
+def _levels(spark: SparkSession, root: str) -> DataFrame:
+    prose = cut(reading.units(table(spark, root, "documents")))
+    return reading.levels(prose, reading.fit(prose, reading.anchors(table(spark, root, "reading_labels"))))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """The band of each document of running prose."""
+    return _levels(spark, root).select("doc_id", "band")
+
+
+def p9_levels(spark: SparkSession, root: str) -> DataFrame:
+    """Level, band and shares of prose per band of each document."""
+    return _levels(spark, root)
+
+
+def p9_profile(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and mean level per source and band."""
+    documents = table(spark, root, "documents").select("doc_id", "source")
+    return documents.join(_levels(spark, root), "doc_id").groupBy("source", "band").agg(F.count("*").alias("documents"), F.avg("level").alias("mean_level"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_chunks, p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p5_found, p5_rates, p6_found, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_chunks, p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p5_found, p5_rates, p6_found, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_levels, p9_profile)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ NOT_PROSE = re.compile(
 )
 LEAD = re.compile(r"^\s*(?:(?:>|[-*+•]|\d+[.)])\s+)+")
 SENTENCE_END = re.compile(r"(?<=[。!?！？])|(?<=[.!?])(?=\s|$)")
-SPAN = re.compile(r"`[^`\n]*`|https?://\S+|[\w./-]+/[\w./-]+")
+ENDED = re.compile(r"[。.!?！？][」』)\"'*_]*$")
+SPAN = re.compile(r"`[^`\n]*`|https?://\S+|\w[\w.-]*/[\w./-]+")
 INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 TOKEN = re.compile(r"[a-zà-öø-ÿß]+|[一-鿿]+|[ァ-ヺー]+|[ぁ-ゖ]+")
 CODE_MARK = re.compile(r"[{};]|=>|\w\(|==|&&|\|\|")
@@ -60,30 +62,34 @@ def sentences(text: str | None) -> list[str]:
         else:
             held = (held + " " + line).strip() if held else line
     held and out.append(held)
-    return [s for s in (INVISIBLE.sub("", x).strip() for x in out) if re.search(r"[。.!?！？][」』)\"'*_]*$", s)]
+    return [s for s in (INVISIBLE.sub("", x).strip() for x in out) if s and (s[-1] in "。.!?！？" or ENDED.search(s))]
+
+
+@lru_cache(maxsize=1 << 16)
+def token_slots(token: str) -> tuple[tuple[int, ...], float]:
+    """The slots of a run of one script, and the words it stands for: a word, an ideograph or katakana run, or a hiragana run's triples."""
+    if token[0] < "\u3000":
+        return (zlib.crc32(token.encode()) % SLOTS,), 1.0
+    if token[0] <= "\u3096":
+        return tuple({zlib.crc32(token[i : i + 3].encode()) % SLOTS for i in range(max(1, len(token) - 2))}), len(token) / 2.5
+    return (zlib.crc32(token.encode()) % SLOTS,), max(1.0, len(token) / 2)
 
 
 def slots(sentence: str) -> list[int]:
     """Hashed distinct words of a sentence, or none if it has too few to be one."""
-    plain = SPAN.sub(" ", sentence).lower()
-    words: list[str] = []
-    n = 0
-    for m in TOKEN.finditer(plain):
-        w = m.group()
-        if w[0] < "\u3000":
-            words.append(w)
-            n += 1
-        elif w[0] <= "\u3096":
-            words += [w[i : i + 3] for i in range(max(1, len(w) - 2))]
-            n += len(w) / 2.5
-        else:
-            words.append(w)
-            n += max(1, len(w) / 2)
+    plain = (SPAN.sub(" ", sentence) if "`" in sentence or "/" in sentence else sentence).lower()
+    found: set[int] = set()
+    n, tokens = 0.0, TOKEN.findall(plain)
+    for token in tokens:
+        own, words = token_slots(token)
+        found.update(own)
+        n += words
     if n < 2.5:
         return []
-    script = "j" if words[-1][0] > "\u3000" else "l"
-    words += [f"\x00{script}{min(int(n ** 0.5 * 2), 16)}", f"\x01{script}{min(len(plain) // max(len(words), 1), 9)}"]
-    return sorted({zlib.crc32(w.encode()) % SLOTS for w in words})
+    script = "j" if tokens[-1][0] > "\u3000" else "l"
+    for feature in (f"\x00{script}{min(int(n**0.5 * 2), 16)}", f"\x01{script}{min(int(len(plain) / n), 9)}"):
+        found.update(token_slots(feature)[0])
+    return list(found)
 
 
 #: Judged documents that anchor the scale, at most: those of the smallest hash.

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.sources.tables import cut
+
 # Characters that take no space, kinds of space and of hyphen (RE2 classes).
 INVISIBLE = (
     r"[\x{00}-\x{08}\x{0B}-\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}"
@@ -116,7 +118,7 @@ def same_look_pairs(texts: DataFrame, salts: int = 8) -> DataFrame:
     spread. Null and invisible texts have no pairs; a repeated row gives its pairs once.
     """
     keyed = canonical(texts.select("field", F.coalesce("scope", F.lit("")).alias("scope"), "key", "text"), keep_text=False)
-    keyed = keyed.where("visible and key is not null").drop("visible")
+    keyed = cut(keyed.where("visible and key is not null").drop("visible"))
     group = ["field", "scope", "canon_key"]
     mixed = keyed.groupBy(*group).agg(F.min("stored_key").alias("lo"), F.max("stored_key").alias("hi")).where("lo <> hi").select(*group)
     rows = keyed.join(mixed, group, "left_semi").dropDuplicates([*group, "key", "stored_key"])

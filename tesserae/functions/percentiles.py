@@ -1,0 +1,31 @@
+"""The percentile definitions in use, under their names; never mixed."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+METHODS = ("linear", "nearest_rank", "even_index", "upper_median", "round_rank", "floor_index")
+
+
+def percentile(x: Column, q: float, method: str) -> Column:
+    """Aggregate ``x`` at quantile ``q``; nulls are left out and no values give null.
+
+    ``linear`` interpolates, ``nearest_rank`` takes the lowest value with a share of at least q up to it. The
+    others index the sorted values: ``even_index`` at round-half-even q(n-1), ``upper_median`` at n/2,
+    ``round_rank`` at round-half-even qn, minus 1, and ``floor_index`` at the floor of q(n-1). Those gather a group's values in one
+    row, so they are for groups that fit in a task.
+    """
+    if method == "linear":
+        return F.percentile(x, q)
+    values = F.sort_array(F.collect_list(x))
+    n = F.size(values)
+    index = {
+        "nearest_rank": F.greatest(F.ceil(F.lit(q) * n).cast("int") - 1, F.lit(0)),
+        "even_index": F.bround(F.lit(q) * (n - 1), 0).cast("int"),
+        "upper_median": F.floor(n / 2).cast("int"),
+        "round_rank": F.greatest(F.bround(F.lit(q) * n, 0).cast("int") - 1, F.lit(0)),
+        "floor_index": F.floor(F.lit(q) * (n - 1)).cast("int"),
+    }[method]
+    return F.when(n > 0, F.get(values, index))
+

@@ -102,7 +102,7 @@ PRIOR, WEAK, LEAST_VARIANCE = 1.0, 0.5, 0.08
 #: An anchored sentence's level is this much the judges' and else its words'.
 ANCHOR_WEIGHT, FREE_WEIGHT = 0.4, 0.5
 REACH, BINS = 1.2, 48
-UNITS = "doc_id bigint, chars array<int>, sizes array<int>, slots array<int>"
+UNITS = "doc_id bigint, chars array<int>, sizes array<int>, slots array<smallint>"
 
 
 @dataclass(frozen=True)
@@ -125,14 +125,18 @@ def units(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chars, sizes, words = [], [], []
+            chars, sizes, words, n_sentences, n_words = [], [], [], [0], [0]
             for text in batch.column(1).to_pylist():
-                found = [(len(x), w) for x in sentences(text) if (w := slots(x))]
-                chars.append([n for n, _ in found])
-                sizes.append([len(w) for _, w in found])
-                words.append([i for _, w in found for i in w])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x in (chars, sizes, words))], names=["doc_id", "chars", "sizes", "slots"])
+                for sentence in sentences(text):
+                    own = slots(sentence)
+                    if own:
+                        chars.append(len(sentence))
+                        sizes.append(len(own))
+                        words += own
+                n_sentences.append(len(chars))
+                n_words.append(len(words))
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(np.array(x, dtype=kind))) for o, x, kind in ((n_sentences, chars, np.int32), (n_sentences, sizes, np.int32), (n_words, words, np.int16))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "chars", "sizes", "slots"])
 
     return documents.select("doc_id", "text").mapInArrow(run, UNITS)
 

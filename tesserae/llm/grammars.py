@@ -99,6 +99,7 @@ GRAMMARS = {
     ),
 }
 PAIRS = {")": "(", "]": "[", "}": "{"}
+LIFETIME = "lifetime_"
 
 
 class Invalid(Exception):
@@ -157,6 +158,9 @@ def tokens(text: str, g: Grammar) -> list[tuple[str, str, bool]]:
                     level += 1 if end.group() == "/*" else -1
                     fresh |= "\n" in text[at : end.start()]
                     at = end.end()
+        elif kind == "str" and piece[0] == "'" and (len(piece) == 1 or piece[-1] != "'"):
+            out.append(("word", LIFETIME, fresh))
+            fresh = False
         elif kind != "space":
             if kind == "open":
                 depth += 1
@@ -249,7 +253,7 @@ def brace_language(text: str, g: Grammar) -> None:
                 annotated = pk == "word" and i > 1 and toks[i - 2][1] in ("@", ".") and g.top and "@" in g.top and _annotation(toks, i - 1) or p == ")" and head > 1 and toks[head - 2][1] == "@"
                 macro = p == "]" and head > 0 and toks[head - 1][1] in ("#", "!")
                 generic = p in g.postfix and pk == "op"
-                if not (lead or called or signature or named or cast or annotated or macro or generic):
+                if not (p == LIFETIME or lead or called or signature or named or cast or annotated or macro or generic):
                     raise Invalid(f"{p!r} {t!r}")
             if kind == "num" and t[-1].isalpha() and not re.fullmatch(r"(?:0[xXbBoO][\da-fA-F_]+|[\d_.]+(?:[eE][+-]?\d+)?)(?:[nfFdDlLuUi]|[iu](?:8|16|32|64|128|size)|f32|f64|UL|uL)?", t):
                 raise Invalid(f"number {t!r}")
@@ -266,6 +270,10 @@ def brace_language(text: str, g: Grammar) -> None:
             raise Invalid(f"{t} cut")
         if kind == "word" and t == "const" and js and nk == "word" and nt != "enum" and not (toks[i + 2 : i + 3] and toks[i + 2][1] in ("=", ":", "of", "in")):
             raise Invalid("const without value")
+        if t == "}" and i in opener and g.typed_names and not go and p not in (";", "}", "{") and opener[i] > 1:
+            bk, b, _ = toks[opener[i] - 1]
+            if b == ")" or bk == "word" and toks[opener[i] - 2][1] != "enum" and b not in ("int", "long", "double", "String"):
+                raise Invalid("statement without ;")
         if t == "}" and i in opener and (js or g.typed_names and not go) and opener[i] > 0 and toks[opener[i] - 1][1] == "try" and nt not in ("catch", "finally"):
             raise Invalid("try without catch")
     if stack:

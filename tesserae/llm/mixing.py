@@ -22,6 +22,7 @@ SEED = 20
 BUCKETS = 1024
 BLOCK_TOKENS = 16_384
 SHARD_TOKENS = 1_000_000
+OFFERS = 32
 #: Rows of ``mix_targets`` up to which the quotas are put into the plan as literals; above, Spark joins them.
 SMALL_TARGETS = 10_000
 
@@ -85,8 +86,8 @@ def select(streams: DataFrame, quota: DataFrame) -> DataFrame:
     """The records of each mix with ``copies`` and their ``last_start`` in the last part of the stream.
 
     Of the last part of a source come the records that end within its quota. The first that doesn't may be
-    long, so the gap is closed by others: of each length one record is offered, and the longest that still
-    fits is taken until none does. What is gathered for that is bounded by the length of one record.
+    long, so the gap is closed by others: of each length up to ``OFFERS`` records are offered, and the longest that still
+    fits is taken until none does. What is gathered for that is bounded by ``OFFERS`` times the length of one record.
     """
     ends = F.col("start") + F.col("n_tokens")
     records = streams.join(quota.select("mix_name", "source", "available", "passes", "rest", "max_repeats", "quota").where("quota > 0"), "source")
@@ -95,7 +96,7 @@ def select(streams: DataFrame, quota: DataFrame) -> DataFrame:
     reached = records.where(last).groupBy("mix_name", "source", "rest").agg(F.coalesce(F.max(F.when(inside, ends)), F.lit(0)).alias("reached"))
     reached = small(reached.select("mix_name", "source", "reached", (F.col("rest") - F.col("reached")).alias("gap")))
     offered = records.where(last & ~inside).join(reached, ["mix_name", "source"]).where("n_tokens <= gap")
-    offered = offered.groupBy("mix_name", "source", "n_tokens", "reached", "gap").agg(F.min(F.struct("h", "start")).alias("one"))
+    offered = offered.groupBy("mix_name", "source", "n_tokens", "reached", "gap", F.pmod("h", F.lit(OFFERS)).alias("offer")).agg(F.min(F.struct("h", "start")).alias("one"))
     offered = offered.select("mix_name", "source", "n_tokens", "reached", "gap", "one.start")
     fillers = small(offered.groupBy("mix_name", "source").applyInPandas(fill_gap, "mix_name string, source string, start bigint, place bigint"))
     chosen = records.join(fillers, ["mix_name", "source", "start"], "left")

@@ -35,9 +35,10 @@ SIGN_TOKEN = re.compile(r"@?[A-Za-z_]+|:=|=>|===|->|::|\":|&str|[-=:\[\]{}]")
 
 
 def ranked(text: str) -> list[str]:
-    """Languages from the likeliest to the least likely by the share of their signs among the tokens."""
+    """Languages that show a sign (two for YAML, which takes almost any line), from the likeliest to the least likely by the share of their signs among the tokens."""
     seen = Counter(SIGN_TOKEN.findall(text))
-    return sorted(SIGNS, key=lambda k: (-sum(seen[s] > 0 for s in SIGN_SETS[k]) / len(SIGN_SETS[k]), -sum(seen[s] for s in SIGN_SETS[k]), k))
+    shown = [k for k in SIGNS if sum(seen[s] > 0 for s in SIGN_SETS[k]) >= 1 + (k == "yaml")]
+    return sorted(shown, key=lambda k: (-sum(seen[s] > 0 for s in SIGN_SETS[k]) / len(SIGN_SETS[k]), -sum(seen[s] for s in SIGN_SETS[k]), k))
 
 
 def verdict(text: str | None, language: str | None) -> tuple[bool | None, str | None]:

@@ -34,6 +34,8 @@ OUTPUT_PATH = re.compile(r"(?i)(?:^|/)(?:generated|__generated__|build_out|autog
 LOCK_NAME = re.compile(r"(?i)(?:^|/)(?:(?:[\w.-]+[-_.])?lock(?:file)?\.(?:json|yaml|yml|toml)|[\w.-]*\.lock(?:\.json)?|[\w.-]+-lock\.\w+|npm-shrinkwrap\.json|go\.sum|[\w.-]+\.lockb?)$")
 LOCK_TEXT = re.compile(r'(?m)^\s*"(?:lockfileVersion|lockfile-version|content-hash)"\s*:|^# (?:yarn lockfile|This file is automatically @generated by)|^lockfileVersion:')
 COMMENT_LINE = re.compile(r"\s*(?://|#(?!\[|include)|--|;;|/\*|\*|<!--|\"\"\"|''')")
+TOP_COMMENT = re.compile(r"(?m)^(?://|#(?![\[!])|/\*| \*)[^\n]*")
+BLOB_LINE = re.compile(r"(?m)^\s*[\"']?[A-Za-z0-9+/=]{40,}[\"']?[,\\]?\s*$")
 WORD = re.compile(r"[^\W\d]\w*")
 NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][\da-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])")
 TEXT_LITERAL = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`")
@@ -72,7 +74,7 @@ def is_minified(body: str, language: str) -> bool:
         return False
     tight = sum(map(str.isspace, code)) / len(code) < 0.12
     lines = [x for x in code.split("\n") if x.strip()]
-    dense = sum(len(x) for x in lines) / len(lines) > 110
+    dense = sum(len(x) for x in lines) / len(lines) > 60
     return tight and dense and sum(len(x) <= 2 for x in names) / len(names) > 0.4
 
 
@@ -84,7 +86,7 @@ def is_data(body: str, language: str) -> bool:
     blobs = [x for x in literals if BLOB.match(x)]
     numbers = NUMBER.findall(TEXT_LITERAL.sub('""', body))
     blob_chars = sum(map(len, blobs))
-    long_blob = sum(len(x) for x in blobs if len(x) >= 40)
+    long_blob = max(sum(len(x) for x in blobs if len(x) >= 40), sum(map(len, BLOB_LINE.findall(body))))
     if long_blob > 0.5 * len(body) and long_blob >= 200:
         return True
     items = len(numbers) + len(blobs)
@@ -100,14 +102,18 @@ def is_data(body: str, language: str) -> bool:
 
 
 def mark(rel_path: str | None, language: str | None, content: str | None) -> str | None:
-    """The rule by which a single file isn't hand-written, or None."""
+    """The rule by which a single file isn't hand-written, or None.
+
+    A generator's notice counts in the leading comment and in comments that stand by themselves at a line's start, not in
+    strings or in comments within code, where hand-written generators have it.
+    """
     path, language, text = rel_path or "", (language or "").lower(), (content or "").replace("\r\n", "\n").replace("\r", "\n")
     head, body = leading_comment(text)
     if LOCK_NAME.search(path) and language != "markdown" or LOCK_TEXT.search(text):
         return "lock"
     if THIRD_PARTY.search(head) and not OWN.search(head) or VENDOR_PATH.search(path):
         return "vendored"
-    if GENERATED.search(head) or OUTPUT_PATH.search(path):
+    if GENERATED.search(head) or OUTPUT_PATH.search(path) or language != "markdown" and any(GENERATED.search(x) for x in TOP_COMMENT.findall(body)):
         return "generated"
     if is_minified(body or text, language):
         return "minified"

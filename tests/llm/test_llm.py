@@ -95,6 +95,8 @@ CODE = "import os\n\n\ndef run(path):\n    with open(path) as fh:\n        retur
     ("a/b.py", "python", CODE, None), ("a/b.py", "python", "# Code generated by x-gen v1. DO NOT EDIT.\n" + CODE, "generated"), ("a/generated/b.py", "python", CODE, "generated"), ("build_generated_x.py", "python", CODE, None),
     ("vendors/b.py", "python", CODE, None), ("a/node_modules/x/b.py", "python", CODE, "vendored"), ("a/kit-1.2.3/b.py", "python", CODE, "vendored"), ("a/b.py", "python", "# vendored from the kit package, release 4.9; upstream: kit\n" + CODE, "vendored"),
     ("a/b.py", "python", "# Copyright the repository owners. All rights reserved.\n" + CODE, None), ("a/b.py", "python", CODE + '\nTEXT = "generated report, do not edit"\n', None),
+    ("a/b.py", "python", "import os\n\n# Code generated by x-gen v1. DO NOT EDIT.\n" + CODE, "generated"), ("a/gen.py", "python", CODE + 'def w(out):\n    out.write("// Code generated by w. DO NOT EDIT.")\n', None),
+    ("a/p.py", "python", 'PAYLOAD = """\n' + ("MTjeQYsicgVwmj8b9LoSOknl2HpD/3VU2yZLz5IrqWK9Ebr7ZYYI1ac+LIgf\n" * 20) + '"""\n', "data"),
     ("package-lock.json", "json", '{\n  "lockfileVersion": 3\n}', "lock"), ("block.json", "json", '{"a": 1}', None), ("a/t.py", "python", "T = [\n" + "    1, 22, 333, 4,\n" * 80 + "]\n", "data"),
     ("a/r.json", "json", '{"rows": [' + ",".join('{"id": %d, "h": "fc2447d2", "v": 2.34}' % i for i in range(90)) + "]}", "data"), ("a/b.js", "javascript", "// one long pattern\nconst a = /^(" + "|".join(f"publish_part_{i}" for i in range(90)) + ")$/;\n", None),
     ("a/m.js", "javascript", "!function(t,n){" + "".join(f"var a{i}=function(b,c){{return b<c?b:{{c:b}}}};" for i in range(40)) + "}(this);", "minified"), (None, None, None, None), ("a", "python", "", None),

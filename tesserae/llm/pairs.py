@@ -30,7 +30,7 @@ CITATION = re.compile(r"[\[【(]\s*[Cc]\s*[:.]?\s*\d+\s*[\]】)]")
 SIDE_MARK = re.compile(r"(?:\s*(?:※\s*\d+|\(\s*\d+\s*件\s*\)))+\s*$")
 LABEL = re.compile(r"(?im)^[\s>*_#-]*(?:question|answer|response|reply|q|a|質問|回答|答え|問|答|frage|antwort)\s*[*_]*\s*:\s*")
 STAND_IN = re.compile(r"(?i)^(?:none|null|nil|nan|n/?a|n\.a\.?|empty|undefined|unknown|missing|blank|no answer|no response|not available|not applicable|tbd|tba|todo|to be determined|xxx|なし|無し|空|空白|空欄|未定|未入力|未回答|未記入|該当なし|回答なし|不明)$")
-WRAPPER = re.compile(r"(?i)というご質問ですね|についてのご質問ですね|とのことですね|you asked|your question (?:was|is)|the question (?:was|is)|ご質問")
+WRAPPER = re.compile(r"(?i)というご質問ですね|についてのご質問ですね|とのことですね|you asked|your question(?: was| is)?|the question(?: was| is)?|ご?質問(?:の内容)?は|お尋ねは|ご質問")
 # Words by which seed rules know a refusal, and an offer that follows one.
 REFUSAL_SEED = re.compile(
     r"(?i)お?答え(?:する|でき)\w*(?:でき)?(?:ません|かねます)|(?:いたし|わかり|でき|致し|分かり)かねます|判断できません|確認できておりません|確認できませんでした|見当たりません|差し控え|"
@@ -55,6 +55,8 @@ SMALL_WORDS = {
     "pt": "o a os as é e um uma em por para que de do da se não com está".split(),
     "it": "il lo la gli le è e un una in per che di del della si non con".split(),
 }
+# Characters of simplified Chinese that Japanese doesn't use, and small words; text without kana is Chinese with them.
+CHINESE = re.compile("[这请为负责处设时间实现结调个们给运认检该则没还对从让说话过进远边达带关开问题应传输务员报错误读写类别图书馆]|的|了|是|在|吗|呢")
 WORD_LANGUAGES = {w: [k for k, ws in SMALL_WORDS.items() if w in ws] for ws in SMALL_WORDS.values() for w in ws}
 ASKED = [
     ("en", re.compile(r"(?i)英語で|\bin english\b|auf englisch")),
@@ -95,7 +97,7 @@ def language(text: str) -> str | None:
     if re.search("[ぁ-ゖァ-ヺ]", prose):
         return "ja"
     if len(re.findall("[一-鿿]", prose)) >= 2:
-        return "han"
+        return "zh" if CHINESE.search(prose) else "han"
     hits: dict[str, int] = {}
     for word in re.findall(r"[a-zà-öø-ÿß']+", prose.lower()):
         for k in WORD_LANGUAGES.get(word, ()):
@@ -229,7 +231,7 @@ def copies(question: str, answer: str) -> bool:
     """Exact check of an echo: nothing is left of the answer without the question."""
     q = squeezed(plain(question))
     rest = squeezed(WRAPPER.sub("", bare(LABEL.sub("", plain(answer)))))
-    return bool(q) and (not rest.replace(q, "") or len(rest) > 0.9 * len(q) and rest in q)
+    return bool(q) and (q in rest and len(rest.replace(q, "")) <= 2 or len(rest) > 0.9 * len(q) and rest in q)
 
 
 def question_pairs(eval_sessions: DataFrame, query_results: DataFrame, salts: int = 8) -> DataFrame:

@@ -39,9 +39,10 @@ def model(spark):
 JA, EN = "`scoreQuery` の役割を教えてください。", "What does `scoreQuery` do when the limit is set?"
 CASES = [
     (EN, None, "empty"), (EN, "", "empty"), (EN, "\u200b\n", "empty"), (EN, "[C:1]", "empty"), (EN, "Answer:", "empty"), (JA, "(なし)", "empty"), (JA, "```\n```", "empty"), (EN, "N/A", "empty"), (EN, "**", "empty"),
-    (EN, EN, "copy"), (EN, f"> {EN}", "copy"), (EN, f"Question: {EN}\nAnswer: {EN}", "copy"), (JA, "「`scoreQuery` の役割を教えてください」", "copy"),
+    (EN, EN, "copy"), (EN, f"> {EN}", "copy"), (EN, f"Question: {EN}\nAnswer: {EN}", "copy"), (JA, "「`scoreQuery` の役割を教えてください」", "copy"), (JA, "ご質問は`scoreQuery` の役割を教えてください", "copy"), (EN, f"You asked: {EN}", "copy"),
     (EN, "I'm sorry, but I do not know.", "refusal"), (EN, "There is not enough evidence to say. Try asking something else.", "refusal"), (JA, "申し訳ありませんが、お答えできません。別の質問をお試しください。", "refusal"),
     (JA, "The result is passed to `rank_shard`, which returns a list of at most 41 items. Both modules share it.", "language"), (EN, "Nach Artikel 44 beträgt die Frist 56 Tage. Der Wert wird durch `A_B` ersetzt.", "language"),
+    (JA, "根据第27条，期限为30天。`mergeCitation` 函数位于 `a.py` 中，负责处理这个请求[C:4]。", "language"), (EN, "제44조에 따라 기한은 30일입니다. 결과는 실행 로그에 기록됩니다.", "language"), (JA, "検索結果一覧。安全管理規程第三条。", None),
     (JA + "英語で答えてください。", "処理時間は約102ミリ秒で、大半は `split_anchor` が占めます。", "language"),
     (EN, "Most of the time is spent in `run`. The default is passed to `trim`, wh", "truncated"), (JA, "既定値は480で、変わります。変更する場合は、`lib/a.py` の", "truncated"), (EN, "It is set here.\n\n```\nx = f(y\n", "truncated"),
     (EN, "Most of the 27 ms is spent in `run_it` [C:2].", None), (JA, "失敗すると「確認できません」という表示が出て、`run` が再実行されます。", None), (EN, "`src/a/b.py` [C:1]", None),

@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the retrieval system whose results are matched.
-CJK_RUN = "[々〇぀-ヿ一-鿿]+"
-FEATURE_RUN = "[぀-ヿ㐀-鿿]+"
+CJK = "[々〇぀-ヿ一-鿿]"
+FEATURE = "[぀-ヿ㐀-鿿]"
 PIPELINE_TOKEN, ELIGIBILITY_TOKEN = "[a-z0-9_]{2,}", "[a-z0-9_][a-z0-9_.-]*"
 ARTICLE = r"第\d+条"
 PENALTY = "(罰則|罰金|懲役|過料)"
@@ -28,28 +28,27 @@ def any_of(text: Column, needles: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
 
 
-def windows(run: Column, size: int) -> Column:
-    """All overlapping substrings of ``size`` characters."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - size + 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(size)))
+def overlapping(text: Column, characters: str, size: int, lone: bool = False) -> Column:
+    """All overlapping runs of ``size`` of the characters, in order, and with ``lone`` those that stand alone; one pass with a look-ahead."""
+    pattern = characters * size + (f"|(?<!{characters}){characters}(?!{characters})" if lone else "")
+    return F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), 1)
 
 
 def bm25_tokens(text: Column) -> Column:
     """Lower-case words with camel case split, of two characters or more, then bigrams of each CJK run; repeats stay. Null text has none."""
-    words = F.split(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), "[^a-z0-9_]+")
-    runs = F.regexp_extract_all(text, F.lit(f"({CJK_RUN})"), 1)
-    return F.coalesce(F.concat(F.filter(words, lambda w: F.length(w) >= 2), F.flatten(F.transform(runs, lambda r: windows(r, 2)))), F.array().cast("array<string>"))
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), F.lit("([a-z0-9_]{2,})"), 1)
+    return F.coalesce(F.concat(words, overlapping(text, CJK, 2, lone=True)), F.array().cast("array<string>"))
 
 
 def text_features(text: Column, token: str = PIPELINE_TOKEN) -> Column:
     """Distinct words, and 2- and 3-grams of each CJK run (runs up to 2 whole); a text with neither has its character 3-grams."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
     words = F.regexp_extract_all(plain, F.lit(f"({token})"), 1)
-    runs = F.regexp_extract_all(plain, F.lit(f"({FEATURE_RUN})"), 1)
-    grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= 2, F.array(r)).otherwise(F.concat(windows(r, 2), windows(r, 3)))))
-    found = F.array_distinct(F.concat(words, grams))
+    found = F.array_distinct(F.concat(words, overlapping(plain, FEATURE, 2, lone=True), overlapping(plain, FEATURE, 3)))
     compact = F.regexp_replace(plain, " ", "")
-    rest = F.when(F.length(compact) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(windows(compact, 3)))
-    return F.coalesce(F.when(F.size(found) > 0, found).otherwise(rest), F.array().cast("array<string>"))
+    grams = F.when(F.length(compact) < 3, F.array(compact)).otherwise(F.array_distinct(overlapping(compact, r"[\s\S]", 3)))
+    rest = F.when(F.length(compact) == 0, F.array().cast("array<string>")).otherwise(grams)
+    return F.when(F.size(found) > 0, found).otherwise(rest)
 
 
 def overlap(left: Column, right: Column) -> Column:
@@ -88,12 +87,7 @@ def refusals(text: Column) -> Column:
 
 def ngrams(text: Column, shortest: int = 2, longest: int = 8) -> Column:
     """All substrings of the text's Japanese runs between two lengths, but for those in hiragana only."""
-    runs = F.regexp_extract_all(text, F.lit(f"({CJK_RUN})"), 1)
-
-    def of_size(k: int) -> Column:
-        return F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= k), lambda r: windows(r, k)))
-
-    sizes = [of_size(k) for k in range(shortest, longest + 1)]
+    sizes = [overlapping(text, CJK, k) for k in range(shortest, longest + 1)]
     return F.filter(F.concat(*sizes), lambda g: ~F.regexp_like(g, F.lit("^[ぁ-ゟ]+$")))
 
 

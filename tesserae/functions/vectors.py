@@ -21,7 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def scaled(a: Column, by: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") * by)
+    """The vector times a number, which is evaluated once and not for each element."""
+    return F.zip_with(a, F.array_repeat(by, F.size(a)), lambda x, y: x.cast("double") * y)
 
 
 def added(a: Column, b: Column) -> Column:

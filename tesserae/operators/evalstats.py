@@ -50,3 +50,19 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], margin: float =
         .when(faster("latency_a", "latency_b"), "a").when(faster("latency_b", "latency_a"), "b").otherwise("tie")
     )
     return a.join(b, keys).withColumn("winner", winner)
+
+
+def citation_grade(wrong: Column, cited: Column, wanted: Column, refused: Column) -> Column:
+    """WRONG with indices outside the pack, CORRECT_CHUNK with a wanted chunk, ARTICLE_LEVEL with one of the same file, else NO_CITATION without
+    citations or for a refusal, else WRONG."""
+    same_file = F.arrays_overlap(F.transform(cited, lambda c: F.substring_index(c, "::", 2)), F.transform(wanted, lambda c: F.substring_index(c, "::", 2)))
+    return (
+        F.when(F.size(wrong) > 0, "WRONG").when(F.arrays_overlap(cited, wanted), "CORRECT_CHUNK").when(same_file, "ARTICLE_LEVEL")
+        .when((F.size(cited) == 0) | refused, "NO_CITATION").otherwise("WRONG")
+    )
+
+
+def over_thresholds(stats: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Rows of statistics that exceed a limit, with the names of the measures that do."""
+    over = F.array_compact(F.array(*[F.when(F.col(c) > x, F.lit(c)) for c, x in limits.items()]))
+    return stats.withColumn("violations", over).where(F.size("violations") > 0)

@@ -91,3 +91,14 @@ def phrase_table(texts: DataFrame, key: str, text: Column, min_df: int = 5, min_
     """``phrase, tf, df`` of Japanese phrases of 2 to 8 characters found often enough."""
     per = texts.select(key, F.explode(ngrams(text)).alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("n"))
     return per.groupBy("phrase").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("tf") >= min_tf))
+
+
+def keyword_of(phrase: Column, keywords: list[str]) -> Column:
+    """The first of a fixed list's keywords that a phrase contains, or null."""
+    return F.coalesce(*[F.when(F.contains(phrase, F.lit(k)), F.lit(k)) for k in keywords]) if keywords else F.lit(None).cast("string")
+
+
+def document_frequencies(texts: DataFrame, key: str, text: Column, phrases: list[str]) -> DataFrame:
+    """``phrase, df``: how many texts contain each phrase of a fixed list, in one pass over the texts."""
+    found = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(text, p))
+    return texts.select(key, F.explode(found).alias("phrase")).groupBy("phrase").agg(F.countDistinct(key).alias("df"))

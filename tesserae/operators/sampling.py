@@ -48,3 +48,26 @@ def allocation(weights: DataFrame, n: int, name: str, weight: str) -> DataFrame:
     first = F.row_number().over(order) == 1
     got = F.greatest(F.lit(0), F.least(F.col("want"), n - (F.col("upto") - F.col("want"))))
     return kept.select(name, (got + F.when(first, F.greatest(F.lit(0), n - F.col("all"))).otherwise(0)).alias("scenarios"))
+
+
+def grid(axes: dict[str, list], spark) -> DataFrame:
+    """Every combination of an axis's values, for parameter searches; as large as the axes say, whatever the data."""
+    rows = spark.range(1).select()
+    for name, values in axes.items():
+        rows = rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return rows
+
+
+def neighbours(seeds: DataFrame, steps: dict[str, list]) -> DataFrame:
+    """Settings one step from the seeds on one axis, without the seeds."""
+    moves = [F.array(*[F.struct(*[(F.col(c) + F.lit(s) if c == axis else F.col(c)).alias(c) for c in seeds.columns]) for s in values]) for axis, values in steps.items()]
+    moved = seeds.select(F.explode(F.concat(*moves)).alias("m")).select("m.*").distinct()
+    return moved.join(seeds, seeds.columns, "left_anti")
+
+
+def weighted_counts(weights: dict[str, float], sizes: dict[str, int]) -> dict[str, int]:
+    """How many records of each source a weighted mix takes: as many in all as the scarcest allows, rounded down for each."""
+    if not weights or abs(sum(weights.values()) - 1) > 1e-6 or any(w <= 0 for w in weights.values()):
+        raise ValueError("weights must be positive and add up to 1")
+    total = min(int(sizes.get(k, 0) / w) for k, w in weights.items())
+    return {k: int(total * w) for k, w in weights.items()}

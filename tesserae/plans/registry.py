@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import conversation, evaluation, retrieval
+from tesserae.plans import conversation, evaluation, expansion, retrieval
 
-MODULES = (retrieval, conversation, evaluation)
+MODULES = (retrieval, conversation, evaluation, expansion)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

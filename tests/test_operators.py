@@ -219,3 +219,39 @@ def test_sources(spark, tmp_path):
     assert column(spark, ["A.TSX", "noext", "d/x.KT"], src.language_of) == ["typescript", "text", "kotlin"]
     rows = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, "only")], "k int, v int, t string")
     assert sorted(r.t for r in src.upserted(rows, ["k"], [F.desc("v")]).collect()) == ["new", "only"]
+
+
+def test_more_retrieval(spark):
+    hits = spark.createDataFrame([(1, 1, "a.md", 2.0), (1, 2, "b.PY", 1.8)], "query_id int, chunk_no int, rel_path string, score double")
+    assert [r.chunk_no for r in retrieval.boosted(hits, ".py", 0.5).orderBy("rank").collect()] == [2, 1]
+    assert [r.chunk_no for r in retrieval.boosted(hits, ".py", 0.0).orderBy("rank").collect()] == [1, 2]
+    one = hits.select("query_id", "chunk_no", F.col("chunk_no").alias("ord"))
+    union = retrieval.ordered_union([one.where("chunk_no = 2"), one, one.limit(0)], "chunk_no").orderBy("position").collect()
+    assert [r.chunk_no for r in union] == [2, 1]
+    assert {r.chunk_no: r.score for r in retrieval.score_map([hits, hits.withColumn("score", F.lit(-1.0))], "chunk_no").collect()} == {1: 1.0, 2: 0.9}
+    ids = spark.createDataFrame([("r::f::1-9#part2of3",), ("r::f::1-9",)], "chunk_id string")
+    assert sorted(r.sibling for r in retrieval.split_siblings(ids).collect()) == [f"r::f::1-9#part{i}of3" for i in (1, 2, 3)]
+    near = spark.createDataFrame([(0.5, 0.2, 0.6)], "retrieval double, current double, session double")
+    got = near.select(retrieval.dual_scores(near, F.lit(True)), retrieval.dual_scores(near, F.lit(False))).first()
+    assert [round(x, 6) for x in got] == [0.367, 0.26]
+
+
+def test_grids_and_weights(spark):
+    phase = sampling.grid({"a": [1, 2, 3], "b": [1, 2, 3], "c": [1, 2, 3]}, spark).where("not (a = 1 and b = 3)")
+    assert phase.count() == 24
+    seeds = spark.createDataFrame([(5, 5)], "a int, b int")
+    assert sorted(map(tuple, sampling.neighbours(seeds, {"a": [-1, 1], "b": [-1, 0, 1]}).collect())) == [(4, 5), (5, 4), (5, 6), (6, 5)]
+    assert sampling.weighted_counts({"x": 0.75, "y": 0.25}, {"x": 300, "y": 50}) == {"x": 150, "y": 50}
+    with pytest.raises(ValueError, match="add up"):
+        sampling.weighted_counts({"x": 0.5}, {"x": 1})
+
+
+def test_grades_and_phrases(spark):
+    rows = spark.createDataFrame(
+        [([1], [], ["a::b::1"], False), ([], ["a::b::1"], ["a::b::1"], True), ([], ["a::b::2"], ["a::b::1"], False), ([], [], ["a::b::1"], False), ([], ["z::z::1"], ["a::b::1"], True), ([], ["z::z::1"], [], False)],
+        "w array<int>, c array<string>, t array<string>, r boolean",
+    )
+    from tesserae.operators.evalstats import citation_grade
+
+    assert [r[0] for r in rows.select(citation_grade(F.col("w"), F.col("c"), F.col("t"), F.col("r"))).collect()] == ["WRONG", "CORRECT_CHUNK", "ARTICLE_LEVEL", "NO_CITATION", "NO_CITATION", "WRONG"]
+    assert column(spark, ["x罰則と例外", "なし", None], lambda c: index.keyword_of(c, ["例外", "罰則"])) == ["例外", None, None]

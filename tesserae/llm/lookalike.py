@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ LOOKALIKES = (
     "օo ոn սu հh ցg գq ԼL ՕO ՍU "
     "ǃ! ։: ꞉: ∶: ‚, ٫, ∕/ ⁄/"
 ).split()
+#: Text that DuckDB gets at once.
+SLICE_BYTES = 4_000_000
 #: Kinds of compatibility decomposition that change neither look nor meaning; others (superscripts,
 #: circles, fractions) are visible differences.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>")
@@ -73,6 +76,20 @@ def canonical_sql(column: str) -> str:
     return f"nfc_normalize(translate({e}, {quoted(source)}, {quoted(target)}))"
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` bytes of text, or one row: the nested expressions hold a copy of the text each."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, n in enumerate(sizes):
+            if held and held + n > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
 def canonical(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ``canon`` (the canonical form), ``canon_key``, ``stored_key`` (digests) and ``visible``.
 
@@ -93,7 +110,7 @@ def canonical(df: DataFrame, text: str = "text", keep_text: bool = True) -> Data
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         expression = canonical_sql("t")
-        for batch in batches:
+        for batch in sliced(batches, text):
             part = pa.table({"t": batch.column(batch.schema.get_field_index(text)).cast(pa.string()), "n": pa.array(range(batch.num_rows), pa.int64())})
             con.register("part", part)
             done = con.sql(

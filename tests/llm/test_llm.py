@@ -288,6 +288,14 @@ def test_forms(spark):
     assert all(again[i].canon == got[k].canon for i, k in enumerate(sorted(got)))
 
 
+def test_slices_hold_all_rows():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 5, None, "b" * 50, "", "c" * 4, "d" * 4, "e" * 4], "k": list(range(7))})
+    parts = list(lookalike.sliced(iter([batch, batch.slice(0, 0)]), "t", 10))
+    assert [r for p in parts for r in p.column(1).to_pylist()] == list(range(7)) and [p.num_rows for p in parts] == [2, 1, 3, 1]
+
+
 @needs_data
 def test_pairs_as_by_brute_force(spark):
     texts = lookalike.text_fields(table(spark, SMALL, "query_results"), table(spark, SMALL, "chunks")).cache()

@@ -453,7 +453,8 @@ def shell(text: str) -> None:
             at += 2 if ch == "\\" else 1
             continue
         if ch == "#" and (at == 0 or text[at - 1] in " \t\n;(&|"):
-            at = text.find("\n", at) if "\n" in text[at:] else n
+            end = text.find("\n", at)
+            at = n if end < 0 else end
             continue
         m = re.compile(r"<<-?\s*([\"']?)(\w+)\1").match(text, at)
         if m and not text.startswith("<<<", at):

@@ -6,10 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def delivered_once(rows: DataFrame) -> DataFrame:
-    """Without repeated deliveries: rows equal but for ``received_at`` count once, at the earliest."""
+def delivered_once(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all but ``received_at`` by default) without repeated deliveries: rows equal but for ``received_at`` count once.
+
+    Equality is told by 128 bits of hashes over all columns and their nulls, made where the rows are read, so that only they and the
+    columns wanted are shuffled.
+    """
     others = [c for c in rows.columns if c != "received_at"]
-    return rows.groupBy(*others).agg(F.min("received_at").alias("received_at"))
+    keep = others if keep is None else keep
+    whole = [F.col(c) for c in others] + [F.col(c).isNull() for c in others]
+    keyed = rows.select(F.xxhash64(*whole).alias("_h1"), F.xxhash64(F.lit("second"), *reversed(whole)).alias("_h2"), *keep)
+    return keyed.groupBy("_h1", "_h2", *keep).agg(F.count("*").alias("_n")).drop("_h1", "_h2", "_n")
 
 
 def rate(hit: Column) -> Column:

@@ -31,8 +31,8 @@ REFUSED = " or ".join(f"contains(coalesce(answer, ''), '{r}')" for r in REFUSALS
 OK = "{0} is not null and not isnan({0}) and {0} >= 0"
 
 
-def rows(spark: SparkSession, root: str) -> DataFrame:
-    return S.delivered_once(table(spark, root, "predictions"))
+def rows(spark: SparkSession, root: str, *keep: str) -> DataFrame:
+    return S.delivered_once(table(spark, root, "predictions"), list(keep))
 
 
 def refused():
@@ -43,7 +43,7 @@ def refused():
 round(quantile_cont(case when {OK.format('latency_ms')} then latency_ms end, 0.9), 3) as p90, min(case when {OK.format('latency_ms')} then latency_ms end) as min_ms, max(case when {OK.format('latency_ms')} then latency_ms end) as max_ms,
 round(count(*) filter (no_citation) / count(*), 6) as no_citation_rate from p group by variant_name""")
 def agg_01_run_report(spark: SparkSession, root: str) -> DataFrame:
-    p = rows(spark, root).withColumn("ms", S.measured("latency_ms"))
+    p = rows(spark, root, "variant_name", "latency_ms", "no_citation").withColumn("ms", S.measured("latency_ms"))
     basic = p.groupBy("variant_name").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.round(S.rate(F.col("no_citation")), 6).alias("no_citation_rate"))
     found = percentiles(p, ["variant_name"], "ms", {"p50": (0.5, "linear"), "p90": (0.9, "linear")})
     return basic.join(found, "variant_name").withColumn("p50", F.round("p50", 3)).withColumn("p90", F.round("p90", 3))
@@ -53,7 +53,7 @@ def agg_01_run_report(spark: SparkSession, root: str) -> DataFrame:
 round(100.0 * count(*) filter (coalesce(no_citation, false) and not ({REFUSED})) / count(*), 4) as percent from p where repo_id is not null group by rollup (repo_id)""")
 def agg_03_no_citation_by_repo(spark: SparkSession, root: str) -> DataFrame:
     """Refusal-aware rates per repository with a total row."""
-    p = rows(spark, root).where("repo_id is not null").withColumn("bad", S.true_no_citation(F.col("no_citation"), refused()))
+    p = rows(spark, root, "repo_id", "no_citation", "answer").where("repo_id is not null").withColumn("bad", S.true_no_citation(F.col("no_citation"), refused()))
     per = p.rollup("repo_id").agg(F.grouping("repo_id").cast("bigint").alias("is_total"), F.count("*").alias("n"), F.count_if("bad").alias("true_no_citation"))
     return per.select(F.coalesce("repo_id", F.lit("all")).alias("repo_id"), "is_total", "n", "true_no_citation", F.round(100 * F.col("true_no_citation") / F.col("n"), 4).alias("percent"))
 
@@ -67,7 +67,7 @@ select variant_name, {position} from r group by variant_name"""
 max(x) filter (i = n // 2) as upper_median, max(x) filter (i = greatest(round_even(0.95 * n, 0) - 1, 0)) as round_p95, max(x) filter (i = floor(0.95 * (n - 1))) as floor_p95""", "generation_ms"))
 def agg_04_08_10_24_25_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """The index-based percentile definitions, exact and without gathering a group."""
-    p = rows(spark, root).withColumn("ms", S.measured("generation_ms"))
+    p = rows(spark, root, "variant_name", "generation_ms").withColumn("ms", S.measured("generation_ms"))
     asked = {"even_p50": (0.5, "even_index"), "even_p95": (0.95, "even_index"), "nearest_p95": (0.95, "nearest_rank"), "upper_median": (0.5, "upper_median"), "round_p95": (0.95, "round_rank"), "floor_p95": (0.95, "floor_index")}
     return percentiles(p, ["variant_name"], "ms", asked)
 
@@ -76,7 +76,7 @@ def agg_04_08_10_24_25_percentiles(spark: SparkSession, root: str) -> DataFrame:
 select repo_id, session_id, turn_id, run_id, bad from r where k = 1""")
 def agg_05_failure_examples(spark: SparkSession, root: str) -> DataFrame:
     """Per repository the first failing row, else the first row."""
-    p = rows(spark, root).where("repo_id is not null").withColumn("bad", S.true_no_citation(F.col("no_citation"), refused()))
+    p = rows(spark, root, "repo_id", "session_id", "turn_id", "run_id", "logged_at", "question", "answer", "no_citation").where("repo_id is not null").withColumn("bad", S.true_no_citation(F.col("no_citation"), refused()))
     nulls = [F.asc_nulls_last("logged_at"), F.asc_nulls_last("session_id"), F.asc_nulls_last("turn_id"), F.asc_nulls_last("run_id")]
     picked = S.first_per_group(p, ["repo_id"], [F.asc(~F.col("bad")), *nulls, F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))])
     return picked.select("repo_id", "session_id", "turn_id", "run_id", "bad")
@@ -88,7 +88,7 @@ select session_id, max(n) as turns, round(avg(ms), 3) as mean_ms, round(max(ms)
 def agg_11_session_latency(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.sql import Window
 
-    p = rows(spark, root).where("session_id is not null and turn_id is not null").withColumn("ms", S.measured("latency_ms"))
+    p = rows(spark, root, "session_id", "turn_id", "latency_ms").where("session_id is not null and turn_id is not null").withColumn("ms", S.measured("latency_ms"))
     turns = p.groupBy("session_id", "turn_id").agg(F.max("ms").alias("ms")).withColumn("k", F.row_number().over(Window.partitionBy("session_id").orderBy("turn_id")))
     return turns.groupBy("session_id").agg(
         F.count("*").alias("turns"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.round(F.max(F.when(F.col("k") == 1, F.col("ms"))), 3).alias("first_ms"),
@@ -108,7 +108,7 @@ def agg_13_fallback_recall(spark: SparkSession, root: str) -> DataFrame:
 
 @query(ONCE + """ select variant_name, generator_used, count(*) as n, round(avg(case when latency_ms >= 0 and not isnan(latency_ms) then latency_ms end), 3) as mean_ms, count(*) filter (turn_id >= 5 and no_citation) as late_no_citation from p where generator_used is not null group by all""")
 def agg_14_matrix(spark: SparkSession, root: str) -> DataFrame:
-    p = rows(spark, root).where("generator_used is not null").withColumn("ms", S.measured("latency_ms"))
+    p = rows(spark, root, "variant_name", "generator_used", "latency_ms", "turn_id", "no_citation").where("generator_used is not null").withColumn("ms", S.measured("latency_ms"))
     return p.groupBy("variant_name", "generator_used").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.count_if((F.col("turn_id") >= 5) & F.col("no_citation")).alias("late_no_citation"))
 
 

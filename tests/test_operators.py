@@ -255,3 +255,10 @@ def test_grades_and_phrases(spark):
 
     assert [r[0] for r in rows.select(citation_grade(F.col("w"), F.col("c"), F.col("t"), F.col("r"))).collect()] == ["WRONG", "CORRECT_CHUNK", "ARTICLE_LEVEL", "NO_CITATION", "NO_CITATION", "WRONG"]
     assert column(spark, ["x罰則と例外", "なし", None], lambda c: index.keyword_of(c, ["例外", "罰則"])) == ["例外", None, None]
+
+
+def test_repeated_deliveries(spark):
+    from tesserae.operators.evalstats import delivered_once
+
+    rows = spark.createDataFrame([("q", None, 1.0, 1), ("q", None, 1.0, 2), (None, "q", 1.0, 3), ("q", None, float("nan"), 4), ("q", None, float("nan"), 5)], "question string, answer string, ms double, received_at int")
+    assert delivered_once(rows).count() == 3 and delivered_once(rows, ["ms"]).count() == 3 and delivered_once(rows.limit(0)).count() == 0

@@ -183,8 +183,8 @@ def idx_03_hashed_vectors(spark: SparkSession, root: str) -> DataFrame:
 def _hybrid(spark: SparkSession, root: str, k: int = 40) -> DataFrame:
     chunks, asked = table(spark, root, "chunks"), questions(spark, root)
     lexical = cut(lexical_top(spark, root, k))
-    vectors = index.hashed_vectors(chunks, "chunk_no", index.indexed_text()).withColumnRenamed("chunk_no", "item_id")
-    question_vectors = index.hashed_vectors(asked, "query_id", F.col("query"))
+    vectors = cut(index.hashed_vectors(chunks, "chunk_no", index.indexed_text()).withColumnRenamed("chunk_no", "item_id"))
+    question_vectors = cut(index.hashed_vectors(asked, "query_id", F.col("query")))
     dense = retrieval.dense_topk(question_vectors, vectors, k).select("query_id", F.col("item_id").alias("chunk_no"), "score")
     return retrieval.fuse(lexical, dense, "chunk_no")
 

@@ -44,13 +44,13 @@ def value_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return counts.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(value, "count")))).alias(f"{value}_counts"))
 
 
-def compare(left: DataFrame, right: DataFrame, keys: list[str], margin: float = 0.15) -> DataFrame:
+def compare(left: DataFrame, right: DataFrame, keys: list[str], margin: float = 0.15, carry_left: list[str] | None = None, carry_right: list[str] | None = None) -> DataFrame:
     """Two variants' rows side by side with the winner: the higher score, else the lower latency by more than ``margin``.
 
-    Inputs have the keys, ``score`` and ``latency``, one row per key.
+    Inputs have the keys, ``score`` and ``latency``, one row per key, and the columns to carry along; with several rows per key all of them meet.
     """
-    a = left.select(*keys, F.col("score").alias("score_a"), F.col("latency").alias("latency_a"))
-    b = right.select(*keys, F.col("score").alias("score_b"), F.col("latency").alias("latency_b"))
+    a = left.select(*keys, *(carry_left or []), F.col("score").alias("score_a"), F.col("latency").alias("latency_a"))
+    b = right.select(*keys, *(carry_right or []), F.col("score").alias("score_b"), F.col("latency").alias("latency_b"))
     faster = lambda x, y: F.col(x) < F.col(y) * (1 - margin)
     winner = (
         F.when(F.col("score_a") > F.col("score_b"), "a").when(F.col("score_b") > F.col("score_a"), "b")

@@ -124,17 +124,27 @@ a as (select r.* from r, labels where run_label = a and k = 1), b as (select r.*
 j as (select a.session_id, a.turn_id, case when a.no_citation then 0 else 1 end as score_a, case when b.no_citation then 0 else 1 end as score_b, a.ms as latency_a, b.ms as latency_b, coalesce(a.cited_chunk_ids, []) as ca, coalesce(b.cited_chunk_ids, []) as cb from a join b on a.session_id = b.session_id and a.turn_id = b.turn_id)"""
 
 
+def _first_answers(results: DataFrame) -> DataFrame:
+    """Each run's first result of a turn, with what runs are compared by."""
+    first = S.first_per_group(results, ["session_id", "turn_id", "run_label"], [F.asc("result_id")])
+    return first.select("session_id", "turn_id", "run_label", F.when(F.coalesce("no_citation", F.lit(False)), 0).otherwise(1).alias("score"), F.col("latency.total_ms").alias("latency"), F.coalesce("cited_chunk_ids", F.array()).alias("cited"))
+
+
 def _ab(spark: SparkSession, root: str) -> DataFrame:
+    """The first run of the alphabet against the last one, as the SQL has it; ``_all_runs`` compares every pair."""
     r = table(spark, root, "query_results").where("session_id is not null and turn_id is not null")
     ends = r.agg(F.min("run_label").alias("a"), F.max("run_label").alias("b")).first()
-    first = S.first_per_group(r, ["session_id", "turn_id", "run_label"], [F.asc("result_id")])
-    first = first.select("session_id", "turn_id", "run_label", F.when(F.coalesce("no_citation", F.lit(False)), 0).otherwise(1).alias("score"), F.col("latency.total_ms").alias("latency"), F.coalesce("cited_chunk_ids", F.array()).alias("cited"))
+    first = _first_answers(r)
     a, b = first.where(F.col("run_label") == ends.a), first.where(F.col("run_label") == ends.b)
     both = S.compare(a, b, ["session_id", "turn_id"])
     cited = a.select("session_id", "turn_id", F.col("cited").alias("ca")).join(b.select("session_id", "turn_id", F.col("cited").alias("cb")), ["session_id", "turn_id"])
     return both.join(cited, ["session_id", "turn_id"])
 
 
+def _deltas(both: DataFrame, *keys: str) -> DataFrame:
+    return both.select(*keys, "session_id", "turn_id", F.round(F.col("latency_b") - F.col("latency_a"), 4).alias("delta_ms"), F.round(jaccard(F.col("ca"), F.col("cb")), 6).alias("jaccard"), F.size(F.array_except("ca", "cb")).cast("bigint").alias("only_a"), F.size(F.array_except("cb", "ca")).cast("bigint").alias("only_b"))
+
+
 @query(AB + """ select winner, count(*) as turns from (select case when score_a > score_b then 'a' when score_b > score_a then 'b' when latency_a < latency_b * 0.85 then 'a' when latency_b < latency_a * 0.85 then 'b' else 'tie' end as winner from j) group by winner""")
 def agg_19_winners(spark: SparkSession, root: str) -> DataFrame:
     return _ab(spark, root).groupBy("winner").agg(F.count("*").alias("turns"))
@@ -143,7 +153,33 @@ def agg_19_winners(spark: SparkSession, root: str) -> DataFrame:
 @query(AB + """ select session_id, turn_id, round(latency_b - latency_a, 4) as delta_ms, case when len(list_distinct(list_concat(ca, cb))) > 0 then round(len(list_intersect(list_distinct(ca), list_distinct(cb))) / len(list_distinct(list_concat(ca, cb))), 6) else 0 end as jaccard,
 len(list_distinct(ca)) - len(list_intersect(list_distinct(ca), list_distinct(cb))) as only_a, len(list_distinct(cb)) - len(list_intersect(list_distinct(ca), list_distinct(cb))) as only_b from j""")
 def agg_20_21_deltas(spark: SparkSession, root: str) -> DataFrame:
-    return _ab(spark, root).select("session_id", "turn_id", F.round(F.col("latency_b") - F.col("latency_a"), 4).alias("delta_ms"), F.round(jaccard(F.col("ca"), F.col("cb")), 6).alias("jaccard"), F.size(F.array_except("ca", "cb")).cast("bigint").alias("only_a"), F.size(F.array_except("cb", "ca")).cast("bigint").alias("only_b"))
+    return _deltas(_ab(spark, root))
+
+
+ALL_RUNS = """with r as (select session_id, turn_id, run_label, latency.total_ms as ms, no_citation, cited_chunk_ids, row_number() over (partition by session_id, turn_id, run_label order by result_id) as k from query_results where session_id is not null and turn_id is not null),
+f as (select session_id, turn_id, run_label, case when no_citation then 0 else 1 end as score, ms as latency, coalesce(cited_chunk_ids, []) as cited from r where k = 1),
+j as (select a.session_id, a.turn_id, a.run_label as run_a, b.run_label as run_b, a.score as score_a, b.score as score_b, a.latency as latency_a, b.latency as latency_b, a.cited as ca, b.cited as cb from f a join f b on a.session_id = b.session_id and a.turn_id = b.turn_id and a.run_label < b.run_label)"""
+
+
+def _all_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Every two runs that share a turn, ``run_a`` before ``run_b``, with their citations ``ca`` and ``cb``."""
+    first = _first_answers(table(spark, root, "query_results").where("session_id is not null and turn_id is not null"))
+    a = first.select("session_id", "turn_id", F.col("run_label").alias("run_a"), "score", "latency", F.col("cited").alias("ca"))
+    b = first.select("session_id", "turn_id", F.col("run_label").alias("run_b"), "score", "latency", F.col("cited").alias("cb"))
+    return S.compare(a, b, ["session_id", "turn_id"], carry_left=["run_a", "ca"], carry_right=["run_b", "cb"]).where("run_a < run_b")
+
+
+@query(ALL_RUNS + """ select run_a, run_b, winner, count(*) as turns from (select run_a, run_b, case when score_a > score_b then 'a' when score_b > score_a then 'b' when latency_a < latency_b * 0.85 then 'a' when latency_b < latency_a * 0.85 then 'b' else 'tie' end as winner from j) group by all""")
+def agg_19_winners_all_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Wins and ties of every pair of runs over the turns that both answered."""
+    return _all_runs(spark, root).groupBy("run_a", "run_b", "winner").agg(F.count("*").alias("turns"))
+
+
+@query(ALL_RUNS + """ select run_a, run_b, session_id, turn_id, round(latency_b - latency_a, 4) as delta_ms, case when len(list_distinct(list_concat(ca, cb))) > 0 then round(len(list_intersect(list_distinct(ca), list_distinct(cb))) / len(list_distinct(list_concat(ca, cb))), 6) else 0 end as jaccard,
+len(list_distinct(ca)) - len(list_intersect(list_distinct(ca), list_distinct(cb))) as only_a, len(list_distinct(cb)) - len(list_intersect(list_distinct(ca), list_distinct(cb))) as only_b from j""")
+def agg_20_21_deltas_all_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Latency and citation differences of every pair of runs, turn by turn."""
+    return _deltas(_all_runs(spark, root), "run_a", "run_b")
 
 
 @query("""with d as (select distinct text from documents where text <> ''), e as (select distinct t.question as text from (select unnest(turns) as t from eval_sessions))

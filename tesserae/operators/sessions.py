@@ -164,7 +164,13 @@ def relevant_past(turns: DataFrame, turns_kept: int = 8, least: float = 0.7) ->
     return rows.withColumn("best", best).where(F.col("best.similarity") >= least).select("session_id", "turn_id", "best.past_turn", "best.similarity")
 
 
-def cumulative_citations(turns: DataFrame) -> DataFrame:
-    """Add ``cited_so_far``: distinct citations of a session up to each turn, in the order first seen."""
-    frame = Window.partitionBy("session_id").orderBy("turn_id").rowsBetween(Window.unboundedPreceding, 0)
-    return turns.withColumn("cited_so_far", F.array_distinct(F.flatten(F.collect_list("cited").over(frame))))
+def cumulative_citations(results: DataFrame) -> DataFrame:
+    """``run_label, session_id, turn_id, distinct_citations``: chunks that a run has cited in a session up to each of its turns.
+
+    ``results`` has the keys and ``cited``, with any number of rows per turn. A chunk counts at its earliest turn, so a running sum is all that is kept of a session.
+    """
+    keys = ["run_label", "session_id", "turn_id"]
+    first = results.select(*keys, F.explode("cited").alias("chunk")).groupBy("run_label", "session_id", "chunk").agg(F.min("turn_id").alias("turn_id"))
+    fresh = results.select(*keys, F.lit(0).alias("n")).unionByName(first.select(*keys, F.lit(1).alias("n"))).groupBy(*keys).agg(F.sum("n").alias("n"))
+    so_far = Window.partitionBy("run_label", "session_id").orderBy("turn_id").rowsBetween(Window.unboundedPreceding, 0)
+    return fresh.select(*keys, F.sum("n").over(so_far).alias("distinct_citations"))

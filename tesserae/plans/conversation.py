@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import REFUSALS
@@ -230,7 +230,6 @@ def orc_01_runs(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def ses_01_cumulative_citations(spark: SparkSession, root: str) -> DataFrame:
+    """Distinct chunks cited so far in each session of each run, over all results."""
     r = table(spark, root, "query_results").where("session_id is not null and turn_id is not null")
-    first = r.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "turn_id").orderBy("result_id"))).where("k = 1")
-    turns = first.select("session_id", "turn_id", F.coalesce("cited_chunk_ids", F.array()).alias("cited"))
-    return sessions.cumulative_citations(turns).select("session_id", "turn_id", F.size("cited_so_far").alias("distinct_citations"))
+    return sessions.cumulative_citations(r.select("run_label", "session_id", "turn_id", F.col("cited_chunk_ids").alias("cited")))

@@ -45,3 +45,14 @@ def test_every_pair_of_runs_is_compared(spark, runs, name):
     want = sum(len(list(itertools.combinations(x, 2))) for x in turns.values())
     assert want > 20 and (sum(r[-1] for r in found) if "winners" in name else len(found)) == want
     assert {r[:2] for r in found} == set(itertools.combinations("abcd", 2))
+
+
+def test_citations_cumulate_per_run_over_all_results(spark, runs):
+    root, rows = runs
+    want = {}
+    for _, run, session, turn, *_ in rows:
+        if session and turn:
+            before = [x[5] or [] for x in rows if x[1:3] == (run, session) and x[3] and x[3] <= turn]
+            want[run, session, turn] = len(set(itertools.chain(*before)))
+    got = registry.queries()["ses_01_cumulative_citations"](spark, root).collect()
+    assert len(got) == len(want) and {(r.run_label, r.session_id, r.turn_id): r.distinct_citations for r in got} == want

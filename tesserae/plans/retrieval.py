@@ -8,13 +8,74 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 from tesserae.functions.vectors import norm
 from tesserae.operators import index, retrieval
+from tesserae.plans.conversation import eval_turns
 from tesserae.plans.fragments import BM25, CJK, QUESTIONS, TEXT, features, tokens
 from tesserae.sources.tables import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-# Phrases and the code terms they ask for.
-MAPPING = {"検索": ["retrieve", "search"], "引用": ["citation", "cite"], "例外": ["exception", "raise"], "通知": ["notice", "notify"], "recovery": ["restore", "replay"], "penalty": ["clause", "fine"]}
+# Phrases and the code terms they ask for, the reference's whole dictionary in its order and then those of the test corpora.
+MAPPING = {
+    "ミドルウェア": ["middleware", "Middleware", "BaseHTTPMiddleware"],
+    "依存性注入": ["dependency injection", "Depends", "dependencies"],
+    "依存性": ["dependency", "Depends", "dependencies"],
+    "ルーター": ["router", "APIRouter", "include_router"],
+    "エンドポイント": ["endpoint", "route", "path operation"],
+    "認証": ["authentication", "auth", "authenticate"],
+    "認可": ["authorization", "authorize", "permission"],
+    "セキュリティ": ["security", "SecurityScheme", "OAuth2"],
+    "バリデーション": ["validation", "validator", "pydantic"],
+    "スキーマ": ["schema", "BaseModel", "pydantic"],
+    "例外": ["exception", "HTTPException", "error handler", "raise"],
+    "エラーハンドラ": ["exception handler", "add_exception_handler"],
+    "リクエスト": ["request", "Request"],
+    "レスポンス": ["response", "Response", "JSONResponse"],
+    "セッション": ["session", "SessionMiddleware"],
+    "テスト": ["test", "TestClient", "pytest"],
+    "移行": ["migration", "migration plan"],
+    "リスク": ["risk", "impact"],
+    "影響": ["impact", "affected", "dependency"],
+    "キャッシュ": ["cache", "use_cache", "dependency_cache"],
+    "デコレータ": ["decorator", "@app.get", "@router"],
+    "ライフサイクル": ["lifecycle", "lifespan", "startup", "shutdown"],
+    "WebSocket": ["websocket", "WebSocket", "ws"],
+    "バックグラウンド": ["background", "BackgroundTasks"],
+    "静的ファイル": ["static", "StaticFiles", "mount"],
+    "設定": ["config", "Settings", "BaseSettings"],
+    "ログ": ["log", "logger", "logging"],
+    "ストリーミング": ["streaming", "StreamingResponse", "stream"],
+    "実行順序": ["execution order", "order", "stack"],
+    "移植": ["migration", "porting", "refactor"],
+    "エンコーディング": ["jsonable_encoder", "ENCODERS_BY_TYPE", "encoders"],
+    "デッドロック": ["run_in_threadpool", "asyncio", "anyio", "concurrency"],
+    "非同期": ["asyncio", "run_in_threadpool", "anyio", "concurrency"],
+    "ステータスコード": ["status_code", "routing"],
+    "マルチパート": ["UploadFile", "ImmutableMultiDict", "datastructures", "multipart"],
+    "フォームデータ": ["UploadFile", "Form", "datastructures"],
+    "ファイルアップロード": ["UploadFile", "File", "datastructures"],
+    "パスパラメータ": ["path_params", "solve_dependencies", "routing", "Path"],
+    "型変換": ["solve_dependencies", "request_path", "routing", "field"],
+    "クエリパラメータ": ["query_params", "Query", "Param", "ParamTypes"],
+    "デフォルト値": ["Param", "ParamTypes", "Query", "Body", "Form"],
+    "独自バリデータ": ["Param", "ParamTypes", "field_validator", "model_validator"],
+    "バリデータ": ["Param", "ParamTypes", "field_validator", "model_validator"],
+    "サブアプリ": ["mount", "sub_applications", "routing"],
+    "サブアプリケーション": ["mount", "sub_applications", "routing"],
+    "エラーハンドリング": ["exception_handler", "add_exception_handler", "HTTPException", "exception_handlers"],
+    "ハンドリング": ["exception_handler", "add_exception_handler", "handler"],
+    "ルーティング": ["routing", "APIRouter", "include_router", "route"],
+    "OpenAPI": ["openapi", "get_openapi", "generate_operation_id", "openapi_utils"],
+    "openapi": ["openapi", "get_openapi", "generate_operation_id", "openapi_utils"],
+    "スキーマ生成": ["get_openapi", "generate_operation_id", "openapi_utils"],
+    "セキュリティスキーム": ["SecurityMiddleware", "add_middleware", "TrustedHostMiddleware", "security"],
+    "HTTPSリダイレクト": ["HTTPSRedirectMiddleware", "add_middleware", "middleware"],
+    "信頼済みホスト": ["TrustedHostMiddleware", "add_middleware", "middleware"],
+    "検索": ["retrieve", "search"],
+    "引用": ["citation", "cite"],
+    "通知": ["notice", "notify"],
+    "recovery": ["restore", "replay"],
+    "penalty": ["clause", "fine"],
+}
 
 
 def query(sql: str | None = None):
@@ -222,7 +283,8 @@ def ret_06_variants(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def ret_07_query_expansion(spark: SparkSession, root: str) -> DataFrame:
-    return questions(spark, root).select("query_id", retrieval.expanded_query(F.col("query"), MAPPING).alias("expansion"))
+    """The expansion of every question of the eval sessions; empty where nothing is mapped or named."""
+    return eval_turns(spark, root).where("question is not null").select("session_id", "turn_id", retrieval.expanded_query(F.col("question"), MAPPING).alias("expansion"))
 
 
 NEIGHBOURS = """with o as (select chunk_no, repo_id, repo_commit, rel_path, row_number() over (partition by repo_id, repo_commit, rel_path order by start_line, chunk_no) as rn from chunks)"""

@@ -56,3 +56,15 @@ def test_citations_cumulate_per_run_over_all_results(spark, runs):
             want[run, session, turn] = len(set(itertools.chain(*before)))
     got = registry.queries()["ses_01_cumulative_citations"](spark, root).collect()
     assert len(got) == len(want) and {(r.run_label, r.session_id, r.turn_id): r.distinct_citations for r in got} == want
+
+
+def test_every_question_is_expanded_by_the_whole_dictionary(spark, tmp_path):
+    questions = ["ミドルウェアの実行順序", "HTTPSリダイレクト", "デッドロックの検索", "nothing", None, "penalty of parse_tree()"]
+    turns = [(i, q, "", []) for i, q in enumerate(questions)]
+    kind = "session_id string, turns array<struct<turn_id:int, question:string, reference_answer:string, reference_chunk_ids:array<string>>>"
+    root = written(spark, tmp_path, eval_sessions=([("s", turns), ("t", turns[:1])], kind), query_results=([(1, "a", "s", 0, False, [], (1.0,))], RESULTS))
+    got = {(r.session_id, r.turn_id): r.expansion for r in registry.queries()["ret_07_query_expansion"](spark, root).collect()}
+    assert got == {
+        ("s", 0): "middleware BaseHTTPMiddleware execution order order stack", ("t", 0): "middleware BaseHTTPMiddleware execution order order stack",
+        ("s", 1): "HTTPSRedirectMiddleware add_middleware middleware", ("s", 2): "run_in_threadpool asyncio anyio concurrency retrieve search", ("s", 3): "", ("s", 5): "clause fine parse_tree",
+    }

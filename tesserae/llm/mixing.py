@@ -22,7 +22,8 @@ SEED = 20
 BUCKETS = 1024
 BLOCK_TOKENS = 16_384
 SHARD_TOKENS = 1_000_000
-OFFERS = 32
+#: Parts in which the records of one length are ranked, so that a frequent length isn't one task's work.
+RANK_SHARES = 64
 #: Rows of ``mix_targets`` up to which the quotas are put into the plan as literals; above, Spark joins them.
 SMALL_TARGETS = 10_000
 
@@ -71,23 +72,40 @@ def small(df: DataFrame, most: int = SMALL_TARGETS) -> DataFrame:
 
 
 def fill_gap(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one mix and source, the records that close the gap: the longest that still fits, again and again."""
-    room, kept = int(pdf["gap"].iloc[0]), []
-    for i, n in pdf["n_tokens"].sort_values(ascending=False).items():
-        if n <= room:
-            kept.append(i)
-            room -= n
-    out = pdf.loc[kept, ["mix_name", "source", "start"]]
-    out["place"] = pdf["reached"].iloc[0] + pdf.loc[kept, "n_tokens"].cumsum() - pdf.loc[kept, "n_tokens"]
-    return out
+    """Of one mix and source, how many records of each length close the gap: the longest that still fits, again and again."""
+    room, reached, rows = int(pdf["gap"].iloc[0]), int(pdf["reached"].iloc[0]), []
+    for n, count in pdf[["n_tokens", "n"]].sort_values("n_tokens", ascending=False).itertuples(index=False):
+        take = min(int(count), room // int(n))
+        if take:
+            rows.append((pdf["mix_name"].iloc[0], pdf["source"].iloc[0], n, take, reached))
+            room -= take * int(n)
+            reached += take * int(n)
+    return pd.DataFrame(rows, columns=["mix_name", "source", "n_tokens", "take", "first_place"])
+
+
+def fillers_of(spare: DataFrame) -> DataFrame:
+    """``mix_name, source, start, place`` of the records that close the gaps.
+
+    ``spare`` has the records that fit into their mix's gap. Only counts per length are gathered, at most as many as the gap has tokens;
+    the records are then told by their rank within length, in shares by hash, and shares from which none is taken aren't sorted.
+    """
+    length = ["mix_name", "source", "n_tokens"]
+    spare = spare.withColumn("share", F.pmod("h", F.lit(RANK_SHARES)).cast("int"))
+    counts = spare.groupBy(*length, "share", "reached", "gap").agg(F.count("*").alias("n"))
+    sums = counts.groupBy(*length, "reached", "gap").agg(F.sum("n").alias("n"))
+    takes = small(sums.groupBy("mix_name", "source").applyInPandas(fill_gap, sums.select(*length, F.lit(0).cast("bigint").alias("take"), F.lit(0).cast("bigint").alias("first_place")).schema))
+    before = Window.partitionBy(*length).orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.join(takes, length).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = small(parts.where("before < take").select(*length, "share", (F.col("take") - F.col("before")).alias("left"), (F.col("first_place") + F.col("before") * F.col("n_tokens")).alias("from_place")))
+    ranked = spare.join(parts, [*length, "share"]).withColumn("rank", F.row_number().over(Window.partitionBy(*length, "share").orderBy("h", "start")))
+    return ranked.where("rank <= left").select("mix_name", "source", "start", (F.col("from_place") + (F.col("rank") - 1) * F.col("n_tokens")).alias("place"))
 
 
 def select(streams: DataFrame, quota: DataFrame) -> DataFrame:
     """The records of each mix with ``copies`` and their ``last_start`` in the last part of the stream.
 
     Of the last part of a source come the records that end within its quota. The first that doesn't may be
-    long, so the gap is closed by others: of each length up to ``OFFERS`` records are offered, and the longest that still
-    fits is taken until none does. What is gathered for that is bounded by ``OFFERS`` times the length of one record.
+    long, so the gap is closed by others: the longest that still fits is taken, of all records, until none does.
     """
     ends = F.col("start") + F.col("n_tokens")
     records = streams.join(quota.select("mix_name", "source", "available", "passes", "rest", "max_repeats", "quota").where("quota > 0"), "source")
@@ -95,10 +113,8 @@ def select(streams: DataFrame, quota: DataFrame) -> DataFrame:
     last = (F.col("rest") > 0) & (F.col("passes") < F.col("max_repeats"))
     reached = records.where(last).groupBy("mix_name", "source", "rest").agg(F.coalesce(F.max(F.when(inside, ends)), F.lit(0)).alias("reached"))
     reached = small(reached.select("mix_name", "source", "reached", (F.col("rest") - F.col("reached")).alias("gap")))
-    offered = records.where(last & ~inside).join(reached, ["mix_name", "source"]).where("n_tokens <= gap")
-    offered = offered.groupBy("mix_name", "source", "n_tokens", "reached", "gap", F.pmod("h", F.lit(OFFERS)).alias("offer")).agg(F.min(F.struct("h", "start")).alias("one"))
-    offered = offered.select("mix_name", "source", "n_tokens", "reached", "gap", "one.start")
-    fillers = small(offered.groupBy("mix_name", "source").applyInPandas(fill_gap, "mix_name string, source string, start bigint, place bigint"))
+    spare = records.where(last & ~inside).join(reached, ["mix_name", "source"]).where("n_tokens <= gap")
+    fillers = small(fillers_of(spare.select("mix_name", "source", "n_tokens", "h", "start", "reached", "gap")))
     chosen = records.join(fillers, ["mix_name", "source", "start"], "left")
     extra = (last & (inside | F.col("place").isNotNull())).cast("int")
     chosen = chosen.withColumn("copies", F.col("passes") + extra).where("copies > 0")

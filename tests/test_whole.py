@@ -8,6 +8,7 @@ import random
 import duckdb
 import pytest
 
+from tesserae.llm import mixing
 from tesserae.plans import registry
 
 RESULTS = "result_id bigint, run_label string, session_id string, turn_id int, no_citation boolean, cited_chunk_ids array<string>, latency struct<total_ms:double>"
@@ -68,3 +69,19 @@ def test_every_question_is_expanded_by_the_whole_dictionary(spark, tmp_path):
         ("s", 0): "middleware BaseHTTPMiddleware execution order order stack", ("t", 0): "middleware BaseHTTPMiddleware execution order order stack",
         ("s", 1): "HTTPSRedirectMiddleware add_middleware middleware", ("s", 2): "run_in_threadpool asyncio anyio concurrency retrieve search", ("s", 3): "", ("s", 5): "clause fine parse_tree",
     }
+
+
+def test_a_long_border_records_gap_is_closed_by_few_lengths(spark):
+    schema = "source string, doc_id bigint, n_tokens bigint"
+    short = [("s", i, 12) for i in range(5000)]
+    order = mixing.token_streams(spark.createDataFrame(short, schema), buckets=5).orderBy("start").collect()
+    long = order[100].doc_id
+    sizes = spark.createDataFrame([(s, i, 30_000 if i == long else n) for s, i, n in short], schema)
+    targets = spark.createDataFrame([("m", "s", 1.0, 1, 1200 + 29_999), ("n", "s", 1.0, 1, 1200 + 30_000)], "mix_name string, source string, target_share double, max_repeats int, total_tokens bigint")
+    streams = mixing.token_streams(sizes, buckets=5).cache()
+    quota = mixing.small(mixing.quotas(streams, targets))
+    chosen = mixing.select(streams, quota)
+    got = {r.mix_name: r.tokens for r in mixing.shares(chosen, quota).collect()}
+    assert got == {"m": 1200 + 29_988, "n": 1200 + 30_000}
+    taken = sorted((r.last_start, r.n_tokens) for r in chosen.where("mix_name = 'm'").collect())
+    assert [p for p, _ in taken] == list(range(0, 1200 + 29_988, 12))

@@ -221,11 +221,10 @@ def orc_01_runs(spark: SparkSession, root: str) -> DataFrame:
     """Turns expected of each run, found in it and missing from it, to resume by."""
     turns = eval_turns(spark, root).select("session_id", "turn_id")
     results = table(spark, root, "query_results")
-    runs = [r.run_label for r in results.select("run_label").distinct().orderBy("run_label").limit(1000).collect()]
-    expected = turns.select("session_id", "turn_id", F.explode(F.array(*[F.lit(r) for r in runs])).alias("run_label"))
-    missing = expected.join(results.select("run_label", "session_id", "turn_id").distinct(), ["run_label", "session_id", "turn_id"], "left_anti")
-    counts = expected.groupBy("run_label").agg(F.count("*").alias("expected"))
-    return counts.join(missing.groupBy("run_label").agg(F.count("*").alias("missing")), "run_label", "left").fillna(0, ["missing"])
+    asked = turns.withColumn("asked", F.lit(True))
+    found = results.select("run_label", "session_id", "turn_id").distinct().join(asked, ["session_id", "turn_id"], "left").groupBy("run_label").agg(F.count("asked").alias("found"))
+    expected = F.broadcast(turns.agg(F.count("*").alias("expected")))  # one row
+    return found.crossJoin(expected).select("run_label", "expected", "found", (F.col("expected") - F.col("found")).alias("missing"))
 
 
 @query()

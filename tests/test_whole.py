@@ -85,3 +85,12 @@ def test_a_long_border_records_gap_is_closed_by_few_lengths(spark):
     assert got == {"m": 1200 + 29_988, "n": 1200 + 30_000}
     taken = sorted((r.last_start, r.n_tokens) for r in chosen.where("mix_name = 'm'").collect())
     assert [p for p, _ in taken] == list(range(0, 1200 + 29_988, 12))
+
+
+def test_more_than_a_thousand_runs_are_counted(spark, tmp_path):
+    turns = [(i, "q", "", []) for i in range(4)]
+    kind = "session_id string, turns array<struct<turn_id:int, question:string, reference_answer:string, reference_chunk_ids:array<string>>>"
+    rows = [(i, f"run{i:04}", "s", i % 4, False, [], (1.0,)) for i in range(1100)] + [(5000, "run0000", "s", 1, False, [], (1.0,)), (5001, "run0000", "s", 1, False, [], (1.0,)), (5002, "stray", "other", 1, False, [], (1.0,))]
+    root = written(spark, tmp_path, eval_sessions=([("s", turns)], kind), query_results=(rows, RESULTS))
+    got = {r.run_label: (r.expected, r.found, r.missing) for r in registry.queries()["orc_01_runs"](spark, root).collect()}
+    assert got == {f"run{i:04}": (4, 1, 3) for i in range(1, 1100)} | {"run0000": (4, 2, 2), "stray": (4, 0, 4)}

@@ -117,7 +117,7 @@ def smp_05_length_filter(spark: SparkSession, root: str) -> DataFrame:
 @query("""with l as (select doc_id, case doc_id % 3 when 0 then '[' || coalesce(title, 'none') || '](https://example.org/' || doc_id || '.md)' when 1 then coalesce(title, 'none') || ' | https://example.org/' || doc_id || '.pdf' else 'https://example.org/' || doc_id end as line from documents where coalesce(title, '') not like '%]%' and coalesce(title, '') not like '%|%' and coalesce(title, '') not like '#%' and coalesce(title, '') not like '%[%')
 select 'https://example.org/' || doc_id || case doc_id % 3 when 0 then '.md' when 1 then '.pdf' else '' end as url, case doc_id % 3 when 0 then 'markdown' when 1 then 'pdf' else 'html' end as kind from l""")
 def src_05_06_url_lists(spark: SparkSession, root: str) -> DataFrame:
-    """A URL list written from the documents' titles, in its three forms, and read again."""
+    """A URL list written from the documents' titles, in its three forms, and read again; without the titles of its own marks, as the SQL has it."""
     title = F.coalesce("title", F.lit("none"))
     d = table(spark, root, "documents").where(~F.regexp_like(F.coalesce("title", F.lit("")), F.lit(r"[\[\]|]|^#")))
     url = F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string"))
@@ -127,6 +127,19 @@ def src_05_06_url_lists(spark: SparkSession, root: str) -> DataFrame:
     return parsed.select("url", src.kind_of(F.lit(None).cast("string"), F.col("url")).alias("kind"))
 
 
+@query("""select 'https://example.org/' || doc_id || case doc_id % 3 when 0 then '.md' when 1 then '.pdf' else '' end as url, case doc_id % 3 when 0 then 'markdown' when 1 then 'pdf' else 'html' end as kind,
+case when doc_id % 3 < 2 then nullif(trim(regexp_replace(translate(coalesce(title, 'none'), '[]|' || chr(10) || chr(13), '［］｜  '), '^(\\s*)#', '\\1＃')), '') end as title from documents""")
+def src_05_06_url_lists_all(spark: SparkSession, root: str) -> DataFrame:
+    """The list with all documents: what the list's own marks are made of is written in full width in titles."""
+    title = F.translate(F.coalesce("title", F.lit("none")), "[]|\n\r", "［］｜  ")
+    title = F.trim(F.regexp_replace(title, r"^(\s*)#", "$1＃"))
+    url = F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string"))
+    third = F.col("doc_id") % 3
+    line = F.when(third == 0, F.concat(F.lit("["), title, F.lit("]("), url, F.lit(".md)"))).when(third == 1, F.concat(title, F.lit(" | "), url, F.lit(".pdf"))).otherwise(url)
+    parsed = src.parsed_urls(table(spark, root, "documents").select(line.alias("line")))
+    return parsed.select("url", src.kind_of(F.lit(None).cast("string"), F.col("url")).alias("kind"), "title")
+
+
 @query()
 def src_07_html_pages(spark: SparkSession, root: str) -> DataFrame:
     """Documents wrapped as pages and turned back into markdown."""

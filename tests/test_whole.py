@@ -94,3 +94,14 @@ def test_more_than_a_thousand_runs_are_counted(spark, tmp_path):
     root = written(spark, tmp_path, eval_sessions=([("s", turns)], kind), query_results=(rows, RESULTS))
     got = {r.run_label: (r.expected, r.found, r.missing) for r in registry.queries()["orc_01_runs"](spark, root).collect()}
     assert got == {f"run{i:04}": (4, 1, 3) for i in range(1, 1100)} | {"run0000": (4, 2, 2), "stray": (4, 0, 4)}
+
+
+def test_titles_with_the_lists_own_marks_have_rows(spark, tmp_path):
+    titles = ["plain", "a [b] c", "[x](http://y.z)", "a | b", "# head", "  # head", "", None, "a\nb", "C#", "[", "]", "|", "#"]
+    rows = [(3 * i + k, t) for i, t in enumerate(titles) for k in range(3)]
+    root = written(spark, tmp_path, documents=(rows, "doc_id bigint, title string"))
+    got = sorted(map(tuple, registry.queries()["src_05_06_url_lists_all"](spark, root).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{root}/documents.parquet/*.parquet'")
+    assert len(got) == len(rows) and got == sorted(con.execute(registry.oracle_sql()["src_05_06_url_lists_all"]).fetchall(), key=str)
+    assert {r[2] for r in got} >= {"a ［b］ c", "［x］(http://y.z)", "a ｜ b", "＃ head", "none", "a b", "C#", "＃", None}

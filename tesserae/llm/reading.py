@@ -9,10 +9,10 @@ level falls into a band between two thresholds, and a document has the band of m
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BANDS = ("basic", "intermediate", "advanced")
-#: Word slots of the model; words are hashed, so the model's size doesn't grow with the vocabulary.
-SLOTS = 1 << 15
 
 FENCE = re.compile(r"^\s*(?:```|~~~)")
 # Lines that are headings, tables, settings, log lines or code rather than prose.
@@ -65,14 +63,19 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in (INVISIBLE.sub("", x).strip() for x in out) if s and (s[-1] in "。.!?！？" or ENDED.search(s))]
 
 
+def word_hash(word: str) -> int:
+    """64 bits that stand for a word: among a million words, two share them with a chance of 3 in 100 million."""
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "big", signed=True)
+
+
 @lru_cache(maxsize=1 << 16)
 def token_slots(token: str) -> tuple[tuple[int, ...], float]:
-    """The slots of a run of one script, and the words it stands for: a word, an ideograph or katakana run, or a hiragana run's triples."""
+    """The hashes of a run of one script, and the words it stands for: a word, an ideograph or katakana run, or a hiragana run's triples."""
     if token[0] < "\u3000":
-        return (zlib.crc32(token.encode()) % SLOTS,), 1.0
+        return (word_hash(token),), 1.0
     if token[0] <= "\u3096":
-        return tuple({zlib.crc32(token[i : i + 3].encode()) % SLOTS for i in range(max(1, len(token) - 2))}), len(token) / 2.5
-    return (zlib.crc32(token.encode()) % SLOTS,), max(1.0, len(token) / 2)
+        return tuple({word_hash(token[i : i + 3]) for i in range(max(1, len(token) - 2))}), len(token) / 2.5
+    return (word_hash(token),), max(1.0, len(token) / 2)
 
 
 def slots(sentence: str) -> list[int]:
@@ -102,15 +105,16 @@ PRIOR, WEAK, LEAST_VARIANCE = 1.0, 0.5, 0.08
 #: An anchored sentence's level is this much the judges' and else its words'.
 ANCHOR_WEIGHT, FREE_WEIGHT = 0.4, 0.5
 REACH, BINS = 1.2, 48
-UNITS = "doc_id bigint, chars array<int>, sizes array<int>, slots array<smallint>"
+UNITS = "doc_id bigint, chars array<int>, sizes array<int>, slots array<bigint>"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Difficulty and information of each word slot, the scale of sentence levels and the thresholds between bands."""
+    """Difficulty and information of each word of the sorted vocabulary and of all others (last), the scale of sentence levels and the thresholds between bands."""
 
     difficulty: np.ndarray
     information: np.ndarray
+    vocabulary: np.ndarray
     scale: float = 1.0
     thresholds: tuple[float, float] = (-0.4, 0.4)
 
@@ -121,7 +125,7 @@ class Model:
 
 
 def units(documents: DataFrame) -> DataFrame:
-    """Per document the characters of its sentences, and the word slots of each, whole texts read."""
+    """Per document the characters of its sentences, and the hashed words of each, whole texts read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +139,7 @@ def units(documents: DataFrame) -> DataFrame:
                         words += own
                 n_sentences.append(len(chars))
                 n_words.append(len(words))
-            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(np.array(x, dtype=kind))) for o, x, kind in ((n_sentences, chars, np.int32), (n_sentences, sizes, np.int32), (n_words, words, np.int16))]
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(np.array(x, dtype=kind))) for o, x, kind in ((n_sentences, chars, np.int32), (n_sentences, sizes, np.int32), (n_words, words, np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "chars", "sizes", "slots"])
 
     return documents.select("doc_id", "text").mapInArrow(run, UNITS)
@@ -148,23 +152,43 @@ def anchors(labels: DataFrame, most: int = ANCHORS) -> dict[int, float]:
     return {r.doc_id: r.level for r in judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()}
 
 
-def _unpacked(batch: pa.RecordBatch, known: dict[int, float]) -> tuple[np.ndarray, ...]:
-    """Of a batch of units: words, their sentences, the sentences' documents and characters, and the documents' judged levels."""
+def vocabulary(prose: DataFrame) -> np.ndarray:
+    """All distinct hashed words, sorted: 8 bytes of each go to the driver and the workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(batch.column("slots").flatten().to_numpy(zero_copy_only=False)).astype(np.int64))], names=["word"])
+
+    return np.sort(prose.select("slots").mapInArrow(run, "word bigint").distinct().toPandas()["word"].to_numpy(dtype=np.int64))
+
+
+def indices(known: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Where words stand in a sorted vocabulary, at its length if they don't."""
+    if not len(known):
+        return np.zeros(len(words), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return np.where(known[at] == words, at, len(known))
+
+
+def _unpacked(batch: pa.RecordBatch, known: dict[int, float], words_known: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a batch of units: indices of words, their sentences, the sentences' documents and characters, and the documents' judged levels."""
     lists = [batch.column(c) for c in ("chars", "sizes", "slots")]
     chars, sizes, words = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
     of_doc = np.repeat(np.arange(batch.num_rows), np.diff(lists[0].offsets.to_numpy()))
     of_sentence = np.repeat(np.arange(len(sizes)), sizes)
     judged = np.array([known.get(i, np.nan) for i in batch.column("doc_id").to_pylist()], dtype=float)
-    return words, of_sentence, of_doc, chars.astype(float), judged
+    return indices(words_known, words), of_sentence, of_doc, chars.astype(float), judged
+
 
+def _word_turn(prose: DataFrame, known: dict[int, float], words_known: np.ndarray, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """New difficulty and information of all words from the sentences' present levels; the first turn knows the anchors' only."""
 
-def _word_turn(prose: DataFrame, known: dict[int, float], model: Model | None) -> tuple[np.ndarray, np.ndarray]:
-    """New difficulty and information of all slots from the sentences' present levels; the first turn knows the anchors' only."""
+    size = len(words_known) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, SLOTS))
+        sums = np.zeros((3, size))
         for batch in batches:
-            words, of_sentence, of_doc, _, judged = _unpacked(batch, known)
+            words, of_sentence, of_doc, _, judged = _unpacked(batch, known, words_known)
             given = judged[of_doc]
             anchored = ~np.isnan(given)
             if model is None:
@@ -176,13 +200,13 @@ def _word_turn(prose: DataFrame, known: dict[int, float], model: Model | None) -
                 use = np.where(anchored, 1.0, FREE_WEIGHT * (weight > 0))
             w, t = use[of_sentence], level[of_sentence]
             for k, x in enumerate((w, w * t, w * t * t)):
-                sums[k] += np.bincount(words, x, SLOTS)
+                sums[k] += np.bincount(words, x, size)
         some = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x[some]) for x in sums)], names=["slot", "n", "s", "q"])
 
     parts = prose.mapInArrow(run, "slot int, n double, s double, q double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     got = parts.toPandas()
-    n, s, q = (np.zeros(SLOTS) for _ in range(3))
+    n, s, q = (np.zeros(size) for _ in range(3))
     at = got["slot"].to_numpy()
     n[at], s[at], q[at] = got["n"], got["s"], got["q"]
     mean = s / np.maximum(n, 1e-9)
@@ -196,7 +220,7 @@ def _scale(prose: DataFrame, model: Model) -> float:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2001)
         for batch in batches:
-            words, of_sentence, of_doc, *_ = _unpacked(batch, {})
+            words, of_sentence, of_doc, *_ = _unpacked(batch, {}, model.vocabulary)
             raw, _ = model.levels(words, of_sentence, len(of_doc))
             counts += np.bincount(np.minimum(np.abs(raw) * 1000, 2000).astype(int), minlength=2001)
         some = np.flatnonzero(counts)
@@ -214,7 +238,7 @@ def _thresholds(prose: DataFrame, known: dict[int, float], model: Model) -> tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, of_sentence, of_doc, chars, judged = _unpacked(batch, known)
+            words, of_sentence, of_doc, chars, judged = _unpacked(batch, known, model.vocabulary)
             raw, _ = model.levels(words, of_sentence, len(of_doc))
             bins = np.clip((raw * model.scale / REACH + 1) / 2 * BINS, 0, BINS - 1).astype(int)
             held = np.bincount(of_doc * BINS + bins, chars, batch.num_rows * BINS).reshape(-1, BINS)
@@ -240,13 +264,14 @@ def _thresholds(prose: DataFrame, known: dict[int, float], model: Model) -> tupl
 
 
 def fit(prose: DataFrame, known: dict[int, float], turns: int = TURNS) -> Model:
-    """Estimate words and sentences in turns. Each turn is a pass over all units; what comes to the driver has one row per slot, bin or anchor."""
-    model = Model(*_word_turn(prose, known, None))
-    model = Model(model.difficulty, model.information, _scale(prose, model))
+    """Estimate words and sentences in turns. Each turn is a pass over all units; what comes to the driver has one row per word, bin or anchor."""
+    words = vocabulary(prose)
+    model = Model(*_word_turn(prose, known, words, None), words)
+    model = Model(model.difficulty, model.information, words, _scale(prose, model))
     for _ in range(turns):
-        model = Model(*_word_turn(prose, known, model))
-        model = Model(model.difficulty, model.information, _scale(prose, model))
-    return Model(model.difficulty, model.information, model.scale, _thresholds(prose, known, model))
+        model = Model(*_word_turn(prose, known, words, model), words)
+        model = Model(model.difficulty, model.information, words, _scale(prose, model))
+    return Model(model.difficulty, model.information, words, model.scale, _thresholds(prose, known, model))
 
 
 def levels(prose: DataFrame, model: Model, several: int = SEVERAL) -> DataFrame:
@@ -257,7 +282,7 @@ def levels(prose: DataFrame, model: Model, several: int = SEVERAL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, of_sentence, of_doc, chars, _ = _unpacked(batch, {})
+            words, of_sentence, of_doc, chars, _ = _unpacked(batch, {}, model.vocabulary)
             raw, _ = model.levels(words, of_sentence, len(of_doc))
             level = np.clip(raw * model.scale, -REACH, REACH)
             band = (level >= model.thresholds[0]).astype(int) + (level >= model.thresholds[1])

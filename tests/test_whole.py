@@ -6,9 +6,10 @@ import itertools
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
-from tesserae.llm import mixing
+from tesserae.llm import mixing, reading
 from tesserae.plans import registry
 
 RESULTS = "result_id bigint, run_label string, session_id string, turn_id int, no_citation boolean, cited_chunk_ids array<string>, latency struct<total_ms:double>"
@@ -105,3 +106,13 @@ def test_titles_with_the_lists_own_marks_have_rows(spark, tmp_path):
     con.execute(f"create view documents as select * from '{root}/documents.parquet/*.parquet'")
     assert len(got) == len(rows) and got == sorted(con.execute(registry.oracle_sql()["src_05_06_url_lists_all"]).fetchall(), key=str)
     assert {r[2] for r in got} >= {"a ［b］ c", "［x］(http://y.z)", "a ｜ b", "＃ head", "none", "a b", "C#", "＃", None}
+
+
+def test_every_word_has_a_parameter_of_its_own(spark):
+    words = ["".join(w) for w in itertools.product("abcdefghijklmnopqr", repeat=4)][:60_000]
+    assert len({reading.token_slots(w)[0] for w in words}) == len(words)
+    docs = [(i, ". ".join(" ".join(words[j : j + 6]) for j in range(i * 600, i * 600 + 600, 6)) + ".") for i in range(100)]
+    model = reading.fit(reading.units(spark.createDataFrame(docs, "doc_id bigint, text string")).cache(), {i: float(i % 3 - 1) for i in range(100)})
+    assert len(words) <= len(model.vocabulary) <= len(words) + 40
+    at = reading.indices(model.vocabulary, np.array([reading.token_slots(words[i * 600 + 7])[0][0] for i in range(100)]))
+    assert all(np.sign(model.difficulty[k]) == i % 3 - 1 or i % 3 == 1 for i, k in enumerate(at))

@@ -43,8 +43,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_messages(spark: SparkSession, root: str) -> DataFrame:
     """Ordered messages of the sound conversations."""
-    trees, sessions = conversations.conversations(table(spark, root, "predictions"))
-    return conversations.ordered_messages(trees, sessions)
+    return conversations.ordered_messages(table(spark, root, "predictions"))
 
 
 def p3_dropped(spark: SparkSession, root: str) -> DataFrame:

@@ -169,6 +169,34 @@ def test_dropped_as_by_plain_rules(spark):
     assert got == broken_sessions(rows.collect()) and got
 
 
+@needs_data
+@pytest.mark.parametrize("part", ["all", "mentions of turns"])
+def test_link_scores_decide_what_is_dropped(spark, monkeypatch, part):
+    rows = table(spark, SMALL, "predictions")
+    sound = {r.session_id for r in conversations.dropped(rows).collect()}
+    if part == "all":
+        monkeypatch.setattr(conversations, "link_score", lambda *a: F.lit(0.0))
+    else:
+        monkeypatch.setattr(conversations, "TURN_WEIGHT", 0.0)
+    assert {r.session_id for r in conversations.dropped(rows).collect()} != sound
+
+
+def test_lone_answers_take_the_likeliest_question(spark):
+    at = "2025-01-01 00:0{}:00".format
+    rows = [
+        ("s", 1, "What does `runJob` do?", None, at(0)), ("s", 1, None, "It starts `runJob`.", at(1)), ("s", 2, "Why?", "Because.", at(2)), ("s", 1, None, "Nothing of the kind.", at(4)),
+        ("b", 63, "q", "a", at(1)), ("b", 64, "r", "b", at(2)), ("x", 1, "q", "a", at(1)), ("x", 2, None, "b", at(2)), ("x", 3, "r", "c", at(3)),
+    ]
+    rows += [("b", n, "q", "a", at(1)) for n in range(1, 63)]
+    df = spark.createDataFrame(rows, PREDICTIONS.replace("timestamp", "string")).withColumn("logged_at", F.to_timestamp("logged_at"))
+    turns, sessions = conversations.conversations(df)
+    assert {r.session_id: (r.defect, r.n_trees) for r in sessions.collect()} == {"s": (None, 1), "b": (None, 1), "x": ("question_missing", 3)}
+    told = {(r.session_id, r.turn_id): r.parent for r in turns.collect()}
+    assert told[("s", 2)] == 1 and told[("b", 64)] == 63 and told[("b", 63)] == 62 and told[("x", 3)] is None
+    said = [(r.role, r.text, r.n_alternatives) for r in conversations.ordered_messages(df).where("session_id = 's'").orderBy("position").collect()]
+    assert said[1] == ("assistant", "It starts `runJob`.", 1) and len(said) == 4
+
+
 def test_conversation_edge_cases(spark):
     rows = [
         ("ok", 1, "q one", None, "2025-01-01 00:00:00"), ("ok", 1, None, "a one", "2025-01-01 00:00:05"), ("ok", 2, " q two ", "a two", "2025-01-01 00:01:00"), ("ok", 2, "q two", "another", "2025-01-01 00:02:00"), ("ok", 2, "q two", "a two", "2025-01-01 00:03:00"),
@@ -180,7 +208,7 @@ def test_conversation_edge_cases(spark):
     trees, sessions = conversations.conversations(df)
     defects = {r.session_id: r.defect for r in sessions.collect()}
     assert defects == {"ok": None, "late": None, "gap": "turn_gap", "two": "two_questions", "none": "answer_missing", "ask": "question_missing", "off": "no_turn_id", "start": "turn_gap", "nil": "question_missing"}
-    told = [(r.position, r.role, r.text) for r in conversations.ordered_messages(trees, sessions).where("session_id = 'ok'").orderBy("position").collect()]
+    told = [(r.position, r.role, r.text) for r in conversations.ordered_messages(df).where("session_id = 'ok'").orderBy("position").collect()]
     assert told == [(1, "user", "q one"), (2, "assistant", "a one"), (3, "user", "q two"), (4, "assistant", "a two")]
     assert conversations.dropped(df.limit(0)).count() == 0
 

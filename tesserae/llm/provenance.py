@@ -1,13 +1,15 @@
 """Problem 2: generated, minified, vendored and data files among source.
 
-Merkle hashes are computed bottom-up over the directory trees of all scans; files and subtrees that
-unrelated repositories share mark vendored code. Rules on headers and layout find the rest.
+Merkle hashes are computed bottom-up over the trees of all scans: segments of lines make files, files make
+directories. Segments, files and directories that unrelated repositories share mark vendored code, and nothing else
+does; rules on headers and layout find generated, minified and data files.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,20 +18,14 @@ from pyspark.sql import functions as F
 
 from tesserae.sources.tables import cut
 
-# What leading comments of generated and of third-party files say.
+# What leading comments of generated files say.
 GENERATED = re.compile(
     r"(?i)\b(?:auto[- ]?|machine[- ]?|automatically )generated\b|\bcode generated\b|@generated|<auto-generated|^\W*generated (?:on|by|from|at|with|file)\b|\bgenerated (?:by|from) \S+.*(?:do not|don't|edit|compiler|tool|protoc)|"
     r"\bdo not (?:edit|modify|change)\b.*(?:hand|manual|generat|file)?|\b(?:produced|created|written|emitted|built) by [`'\"]?(?:make|tool|script|the)\b.*(?:edit|instead|do not)|\bmanual change.*\b(?:lost|overwritten)|"
     r"自動生成|機械的に(?:出力|生成)|(?:直接|手で|手動で)(?:編集|変更|修正)(?:しない|禁止)|automatisch (?:erzeugt|generiert)",
     re.M,
 )
-THIRD_PARTY = re.compile(
-    r"(?i)\bvendored from\b|\bthis copy of \S+ .*\bcomes from\b|\bupstream: \S+|copyright\b.*\bthe \S+ (?:authors|contributors|developers|project)\b|\(c\) the \S+ (?:authors|contributors|developers)|\breleased under the terms\b|"
-    r"\bdistributed (?:with|as part of) the \S+ (?:package|distribution)|第三者(?:ライブラリ|パッケージ)|を転載|サードパーティ|bundled copy of|taken from the \S+ (?:package|library)",
-)
-OWN = re.compile(r"(?i)repository owners|this repository|our own")
-# Folders of third-party packages and of build output, and names of lock files.
-VENDOR_PATH = re.compile(r"(?i)(?:^|/)(?:node_modules|bower_components|site-packages|dist-packages|vendor|third[_-]?party|external|externals|godeps|deps|_vendor|Pods|jspm_packages)/|/[A-Za-z][\w.+-]*-v?\d+\.\d+(?:\.\d+)*/")
+# Folders and suffixes of build output, and names of lock files.
 OUTPUT_PATH = re.compile(r"(?i)(?:^|/)(?:generated|__generated__|build_out|autogen)/|(?:\.generated|\.g|\.pb|_pb2|_pb2_grpc|\.designer|\.pb\.gw|_generated)\.\w+$")
 LOCK_NAME = re.compile(r"(?i)(?:^|/)(?:(?:[\w.-]+[-_.])?lock(?:file)?\.(?:json|yaml|yml|toml)|[\w.-]*\.lock(?:\.json)?|[\w.-]+-lock\.\w+|npm-shrinkwrap\.json|go\.sum|[\w.-]+\.lockb?)$")
 LOCK_TEXT = re.compile(r'(?m)^\s*"(?:lockfileVersion|lockfile-version|content-hash)"\s*:|^# (?:yarn lockfile|This file is automatically @generated by)|^lockfileVersion:')
@@ -42,8 +38,13 @@ TEXT_LITERAL = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`")
 BLOB = re.compile(r"^(?:[0-9a-fA-F]{6,}|[A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}){4,}|data:[\w/+-]+;base64,.*)$")
 CALL = re.compile(r"\b(?:def|function|func|fn|fun|class|return|if|for|while|switch|match|struct|interface)\b|=>")
 
-#: A shared file counts from this much text on; less may be the same by chance.
+#: A shared file or folder counts from this much text on; less may be the same by chance.
 SHARED_CHARS, SHARED_LINES = 200, 8
+#: A segment ends with a line whose hash is a multiple of SEGMENT_EVERY, from SEGMENT_LINES lines on, so that segments of
+#: copies fall together again after a local change.
+SEGMENT_LINES, SEGMENT_EVERY = 6, 3
+#: The part of a file's lines in segments of unrelated repositories from which on it is a (changed) copy.
+COPIED_SHARE = 0.65
 
 
 def leading_comment(text: str) -> tuple[str, str]:
@@ -111,8 +112,6 @@ def mark(rel_path: str | None, language: str | None, content: str | None) -> str
     head, body = leading_comment(text)
     if LOCK_NAME.search(path) and language != "markdown" or LOCK_TEXT.search(text):
         return "lock"
-    if THIRD_PARTY.search(head) and not OWN.search(head) or VENDOR_PATH.search(path):
-        return "vendored"
     if GENERATED.search(head) or OUTPUT_PATH.search(path) or language != "markdown" and any(GENERATED.search(x) for x in TOP_COMMENT.findall(body)):
         return "generated"
     if is_minified(body or text, language):
@@ -125,26 +124,42 @@ def digest(text: str) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-LEAVES = "file_id bigint, repo_id string, repo_commit string, rel_path string, rule string, h1 bigint, h2 bigint, chars bigint, lines bigint"
+LEAVES = "file_id bigint, repo_id string, repo_commit string, rel_path string, rule string, h1 bigint, h2 bigint, chars bigint, lines bigint, segments array<struct<h:bigint,n:int>>"
+SEGMENTS = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
+
+
+def segments(text: str) -> list[dict[str, int]]:
+    """The text's segments of lines, empty lines and widths of space aside: hash ``h`` and number of lines ``n``."""
+    out, held = [], []
+    for line in text.split("\n"):
+        line = " ".join(line.split())
+        if line:
+            held.append(line)
+            if len(held) >= SEGMENT_LINES and zlib.crc32(line.encode("utf-8", "surrogatepass")) % SEGMENT_EVERY == 0:
+                out.append(held)
+                held = []
+    return [{"h": digest("\n".join(x))[0], "n": len(x)} for x in (*out, *([held] if held else []))]
 
 
 def leaves(files: DataFrame) -> DataFrame:
-    """Each file with its rule and the hash of its text below the leading comment, line ends aside."""
+    """Each file with its rule, its segments and the hash of its text below the leading comment, line ends aside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rules, h1, h2, chars, lines = [], [], [], [], []
+            rules, h1, h2, chars, lines, parts = [], [], [], [], [], []
             for path, language, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
                 rules.append(mark(path, language, text))
-                body = leading_comment((text or "").replace("\r\n", "\n").replace("\r", "\n"))[1].strip()
+                body = leading_comment(text)[1].strip()
                 a, b = digest(body)
                 h1.append(a)
                 h2.append(b)
                 chars.append(len(body))
                 lines.append(body.count("\n") + 1 if body else 0)
+                parts.append(segments(text))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(rules, pa.string()), *(pa.array(x, pa.int64()) for x in (h1, h2, chars, lines))],
-                names=["file_id", "repo_id", "repo_commit", "rel_path", "rule", "h1", "h2", "chars", "lines"],
+                [*batch.columns[:4], pa.array(rules, pa.string()), *(pa.array(x, pa.int64()) for x in (h1, h2, chars, lines)), pa.array(parts, SEGMENTS)],
+                names=["file_id", "repo_id", "repo_commit", "rel_path", "rule", "h1", "h2", "chars", "lines", "segments"],
             )
 
     return files.select("file_id", "repo_id", "repo_commit", "rel_path", "language", "content").mapInArrow(run, LEAVES)
@@ -153,66 +168,63 @@ def leaves(files: DataFrame) -> DataFrame:
 def directory_hashes(files: DataFrame) -> DataFrame:
     """Merkle hashes of all directories: ``repo_id, repo_commit, dir, depth, h1, h2, n_files, chars``.
 
-    A directory's hash combines its entries' names and hashes; names are distinct in a directory, so the
-    entries are combined by exclusive or, in any order and on the map side first. Levels are done from the
-    deepest up, each from the files and directories right below it.
+    A directory's hash combines its files' hashes with their paths below it. Paths are distinct, so hashes are combined by exclusive or,
+    in any order and on the map side first: every file adds to each directory above it, in one shuffle for all depths.
     """
     tree = ["repo_id", "repo_commit"]
-    parts = F.split("rel_path", "/")
     entries = files.where("repo_id is not null and rel_path is not null").dropDuplicates([*tree, "rel_path"])
-    entries = entries.select(*tree, parts.alias("parts"), "h1", "h2", F.lit(1).cast("bigint").alias("n_files"), "chars")
-    entries = cut(entries.withColumn("depth", F.size("parts") - 1))
-    deepest = entries.agg(F.max("depth")).first()[0] or 0
-    levels, below = [], None
-    for depth in range(deepest, -1, -1):
-        level = entries.where(F.col("depth") == depth)
-        level = level if below is None else level.unionByName(below)
-        name = F.element_at("parts", -1)
-        folder = F.slice("parts", F.lit(1), F.size("parts") - 1)
-        done = level.groupBy(*tree, folder.alias("parts")).agg(
-            F.bit_xor(F.xxhash64(name, "h1", "h2")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "h2", "h1", name)).alias("h2"),
-            F.sum("n_files").alias("n_files"), F.sum("chars").alias("chars"),
-        )
-        done = cut(done.withColumn("depth", F.lit(depth - 1)))
-        levels.append(done)
-        below = done
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select(*tree, F.array_join("parts", "/").alias("dir"), "depth", "h1", "h2", "n_files", "chars")
-
-
-def shared(rows: DataFrame, families: DataFrame, salts: int = 16) -> DataFrame:
-    """Hashes ``h1, h2`` that repositories of different families hold; counted per salt first, so that a hash of very many copies is spread."""
-    owned = rows.join(families, "repo_id").select("h1", "h2", "family")
-    part = owned.withColumn("salt", F.pmod(F.xxhash64("family"), F.lit(salts))).groupBy("h1", "h2", "salt").agg(F.min("family").alias("lo"), F.max("family").alias("hi"))
-    return part.groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h1", "h2")
+    parts = F.split("rel_path", "/")
+    above = F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("depth", "dir")
+    placed = entries.select(*tree, "rel_path", "h1", "h2", "chars", above)
+    below = F.expr("if(depth = 0, rel_path, substring(rel_path, length(dir) + 2))")
+    return placed.groupBy(*tree, "dir", (F.col("depth") - 1).alias("depth")).agg(
+        F.bit_xor(F.xxhash64(below, "h1", "h2")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "h2", "h1", below)).alias("h2"),
+        F.count("*").alias("n_files"), F.sum("chars").alias("chars"),
+    )
+
+
+def shared(rows: DataFrame, families: DataFrame, hashes: list[str]) -> DataFrame:
+    """Values of ``hashes`` that repositories of different families hold: the lowest and the highest family, combined on the map side first."""
+    owned = rows.join(families, "repo_id").groupBy(*hashes).agg(F.min("family").alias("lo"), F.max("family").alias("hi"))
+    return owned.where("lo <> hi").select(*hashes)
+
+
+def unrelated(folders: DataFrame) -> DataFrame:
+    """``repo_id, family`` of every repository: a number, the same for repositories that ever had an equal root, as forks are no vendoring."""
+    roots = folders.where("depth = -1").select("repo_id", "h1", "h2").distinct()
+    alike = roots.groupBy("h1", "h2").agg(F.min(F.xxhash64("repo_id")).alias("family"))
+    return roots.join(alike, ["h1", "h2"]).groupBy("repo_id").agg(F.min("family").alias("family"))
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
     """Files that aren't hand-written: ``file_id, repo_id, rule``, each file once.
 
-    ``rule`` is shared where the Merkle hashes tell, else lock, vendored, generated, minified or data. Repositories with
-    an equal root hash are one family, as forks are no vendoring. Null paths and texts count as empty; files
-    without a repository are judged by rules alone.
+    ``rule`` is shared where the hashes tell (the whole folder, the whole file, or COPIED_SHARE of the file's lines in segments that
+    unrelated repositories hold too), else lock, generated, minified or data. A package that only one repository
+    holds can't be told from its own code. Null paths and texts count as empty; files without a repository are judged by rules alone.
     """
     narrow = cut(leaves(files))
-    folders = directory_hashes(narrow)
-    roots = folders.where("depth = -1").select("repo_id", "h1", "h2")
-    family = roots.groupBy("h1", "h2").agg(F.min("repo_id").alias("family"))
-    families = roots.join(family, ["h1", "h2"]).groupBy("repo_id").agg(F.min("family").alias("family"))
+    folders = cut(directory_hashes(narrow))
+    families = unrelated(folders)
     big = (F.col("chars") >= SHARED_CHARS) & (F.col("lines") >= SHARED_LINES)
-    same_file = shared(narrow.where(big), families).withColumn("same_file", F.lit(True))
+    candidates = narrow.where(big & F.col("repo_id").isNotNull())
+    pieces = candidates.select("file_id", "repo_id", "lines", F.explode("segments").alias("s")).select("file_id", "repo_id", "lines", "s.h", "s.n")
+    known = shared(pieces, families, ["h"]).withColumn("known", F.lit(True))
+    copied = pieces.join(known, "h").groupBy("file_id").agg(F.sum("n").alias("copied"))
+    total = candidates.select("file_id", F.aggregate("segments", F.lit(0), lambda t, x: t + x["n"]).alias("total"))
+    same_text = copied.join(total, "file_id").where(F.col("copied") >= COPIED_SHARE * F.col("total")).select("file_id")
+    same_file = candidates.join(shared(candidates, families, ["h1", "h2"]), ["h1", "h2"], "left_semi").select("file_id")
     trees = folders.where((F.col("depth") >= 0) & (F.col("n_files") > 1) & (F.col("chars") >= SHARED_CHARS))
-    same_tree = trees.join(shared(trees, families), ["h1", "h2"], "left_semi").select("repo_id", "repo_commit", "dir").distinct()
+    same_tree = trees.join(shared(trees, families, ["h1", "h2"]), ["h1", "h2"], "left_semi").select("repo_id", "repo_commit", "dir")
     parts = F.split("rel_path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     inside = narrow.where("rel_path like '%/%'").select("file_id", "repo_id", "repo_commit", F.explode(above).alias("dir"))
-    inside = inside.join(same_tree, ["repo_id", "repo_commit", "dir"]).select("file_id").distinct().withColumn("same_tree", F.lit(True))
-    judged = narrow.join(same_file, ["h1", "h2"], "left").join(inside, "file_id", "left")
-    by_hash = F.coalesce(F.col("same_file") & big, F.lit(False)) | F.coalesce("same_tree", F.lit(False))
-    judged = judged.withColumn("rule", F.when(by_hash, "shared").otherwise(F.col("rule")))
-    return judged.where("rule is not null").groupBy("file_id").agg(F.min("repo_id").alias("repo_id"), F.min("rule").alias("rule"))
+    inside = inside.join(same_tree, ["repo_id", "repo_commit", "dir"]).select("file_id")
+    by_hash = same_text.unionByName(same_file).unionByName(inside).select("file_id", F.lit(0).alias("order"), F.lit("shared").alias("rule"))
+    by_rule = narrow.where("rule is not null").select("file_id", F.lit(1).alias("order"), "rule")
+    first = by_hash.unionByName(by_rule).groupBy("file_id").agg(F.min(F.struct("order", "rule")).alias("r")).select("file_id", "r.rule")
+    owners = narrow.groupBy("file_id").agg(F.min("repo_id").alias("repo_id"))
+    return first.join(owners, "file_id").select("file_id", "repo_id", "rule")
 
 
 def handwritten_chunks(chunks: DataFrame, files: DataFrame, found: DataFrame) -> DataFrame:
@@ -225,5 +237,5 @@ def repository_report(files: DataFrame, found: DataFrame) -> DataFrame:
     """Files and files left out per repository and rule's share."""
     marked = files.select("file_id", "repo_id").join(found.select("file_id", "rule"), "file_id", "left")
     return marked.groupBy("repo_id").agg(
-        F.count("*").alias("files"), *[F.count_if(F.col("rule") == r).alias(r) for r in ("lock", "vendored", "generated", "minified", "data", "shared")], F.count_if(F.col("rule").isNull()).alias("handwritten"),
+        F.count("*").alias("files"), *[F.count_if(F.col("rule") == r).alias(r) for r in ("lock", "generated", "minified", "data", "shared")], F.count_if(F.col("rule").isNull()).alias("handwritten"),
     )

@@ -1,15 +1,19 @@
 """Problem 1: broken prompt and response pairs.
 
 An answer is cut into clauses; a conditional random field tags each as answer, refusal, echo, foreign or
-unfinished, and the shares of the answer that the tags cover decide the pair's defect. The field is
-fitted on a bounded sample of pairs whose clauses seed rules have labelled.
+unfinished, and the shares of the answer that the tags cover decide the pair's defect. The field reads the words of
+a clause, its end, its overlap with the question and the language asked for. It is fitted on a bounded sample of pairs: rules
+label their clauses, and further pairs with planted defects (cut answers, answers to questions in another language,
+repeated questions) are made of them. The rules are used nowhere else.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +22,13 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import crf
 
+#: Features by name with their rows in the weights, the weights and the transitions.
+Model = tuple[dict[str, int], np.ndarray, np.ndarray]
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
-#: Pairs on which the field is fitted, at most: those of the smallest hash.
-FIT_PAIRS = 3000
+#: Pairs of which the field is fitted, at most: those of the smallest hash.
+FIT_PAIRS = 8000
 
 # What shows nothing, marks beside the text, labels and stand-ins.
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿]")
@@ -71,11 +77,14 @@ ASKING = re.compile(r"(?i)答え|回答|説明して|返答|お願い|記述|書
 TERMINATED = re.compile(r"(?:[。!?؟]|(?<!\.)\.)[」』)\"'”’\]*_\s]*$")
 BULLET = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s+")
 SENTENCE = re.compile(r"(?<=[。!?])\s*|(?<=[.!?])\s+|\n+")
+FENCE = re.compile(r"(?m)^\s*(?:```|~~~)")
 HIDE = ""
 
 
 def plain(text: str | None) -> str:
     """One character form, without invisible characters."""
+    if text and text.isascii():
+        return text.replace("\r\n", "\n").replace("\r", "\n")
     return INVISIBLE.sub("", unicodedata.normalize("NFKC", text or "")).replace("\r\n", "\n").replace("\r", "\n")
 
 
@@ -84,9 +93,12 @@ def bare(text: str) -> str:
     return SIDE_MARK.sub("", CITATION.sub("", text)).strip()
 
 
+NOT_WORD = re.compile(r"[\W_]+")
+
+
 def squeezed(text: str) -> str:
     """Letters and digits only, lower case."""
-    return re.sub(r"[\W_]+", "", text.lower())
+    return NOT_WORD.sub("", text.lower())
 
 
 def language(text: str) -> str | None:
@@ -156,75 +168,152 @@ def bigrams(text: str) -> set[str]:
     return {text[i : i + 2] for i in range(len(text) - 1)} or {text}
 
 
-FEATURES = ("bias", "first", "last", "only", "code", "has_code", "bullet", "number", "language_same", "language_other", "language_none", "seed", "soft_no", "apology", "offer", "echo_all", "echo_most", "echo_part", "wrapper", "terminated", "odd_tick", "cut", "short", "long")
+TOKEN = re.compile(r"[^\W_]*(?:[_/.\\:-]+\w+)+|[^\W\d_]+(?:'[a-z]+)?")
+WORD, QUOTE = re.compile(r"[^\W_]"), re.compile("[「『\"“]")
+KANA, HAN, HANGUL = re.compile("[ぁ-ゖァ-ヺ]"), re.compile("[一-鿿]"), re.compile("[가-힣]")
+EAST = re.compile("[ぁ-ヿ一-鿿々]+")
+END_CLASS = (
+    ("stop", re.compile(r"[。!?؟]$|(?<!\.)\.$")), ("comma", re.compile(r"[,、;；]$")), ("open", re.compile(r"[(（:：\[「-]$")), ("close", re.compile(r"[)）\]」』\"']$")),
+    ("kana", re.compile("[ぁ-ヿ]$")), ("han", re.compile("[一-鿿]$")), ("letter", re.compile(r"[^\W\d_]$")), ("digit", re.compile(r"\d$")),
+)
+NAMED_LINE = re.compile(r"`[^`]+`|\|.*\||#+ .*|[\w./\\-]+")
 
 
-def analyse(question: str, answer: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Clauses of an answer, their features and the labels seed rules give them."""
-    q, a = plain(question), bare(LABEL.sub("", plain(answer)))
-    parts, want = clauses(a), expected(q)
-    q_squeezed = squeezed(q)
-    q_grams, cut = bigrams(q_squeezed), unfinished(a)
-    rows, seeds = [], []
-    for i, (part, code) in enumerate(parts):
-        unquoted = CODE.sub(" ", QUOTED.sub(" ", part))
-        own = squeezed(WRAPPER.sub("", part))
+@lru_cache(maxsize=4096)
+def asked(question: str) -> tuple[str, frozenset[str], str, frozenset[str]]:
+    """The language an answer should have, and the question's pairs of characters, letters and words."""
+    q = plain(question)
+    own = squeezed(q)
+    return expected(q) or "none", frozenset(bigrams(own)), own, frozenset(units(CODE.sub(" ", q)))
+
+
+def units(masked: str) -> list[str]:
+    """Words of a clause, names and capitals aside; runs without spaces as single characters and pairs."""
+    out = []
+    for token in TOKEN.findall(masked):
+        if EAST.match(token):
+            for run in EAST.findall(token):
+                out += [*run, *(run[i : i + 2] for i in range(len(run) - 1))]
+        elif token.isalpha() or "'" in token:
+            low = token.lower()
+            if token[0] + low[1:] == token:
+                out.append(low)
+    return out
+
+
+def ending(answer: str, closed: bool) -> str:
+    """How the answer ends: whether code is open, whether its last line is an item, a name or code, and the class of its last character."""
+    if not closed:
+        return "open code"
+    last = answer.rstrip().rsplit("\n", 1)[-1].strip()
+    if last.startswith(("```", "~~~")):
+        return "closed code"
+    bare_end = last.rstrip("」』)\"'”’]*_ ")
+    kind = next((name for name, pattern in END_CLASS if pattern.search(bare_end or last)), "mark")
+    named = bool(NAMED_LINE.fullmatch(last)) and not EAST.search(last)
+    return f"{kind} tick={last.count('`') % 2} item={bool(BULLET.match(last))} named={named} bracket={last.count('(') > last.count(')')}"
+
+
+def analyse(question: str, answer: str | None) -> tuple[list[str], list[bool], list[list[str]], list[int]]:
+    """Clauses of an answer, which of them are code, their features by name and the letters of prose in each.
+
+    Marks, labels, empty code blocks and stand-ins for missing values are no clauses.
+    """
+    want, q_grams, q_own, q_words = asked(question)
+    text = bare(LABEL.sub("", bare(plain(answer)) + "\n"))
+    closed = len(FENCE.findall(text)) % 2 == 0
+    found = [(p, c) for p, c in clauses(text) if WORD.search(p)]
+    if len(found) == 1 and len(found[0][0]) < 40 and STAND_IN.match(re.sub(r"^[\W_]+|[\W_]+$", "", found[0][0])):
+        found = []
+    rows, prose = [], []
+    for i, (part, code) in enumerate(found):
+        names = ["bias", "code" if code else "text", "only" if len(found) == 1 else "first" if i == 0 else "later"]
+        masked = "" if code else CODE.sub(" ", part) if "`" in part else part
+        unquoted = QUOTED.sub(" ", masked) if QUOTE.search(masked) else masked
+        words = units(unquoted if unquoted is masked or WORD.search(unquoted) else masked)
+        for u in set(words) - q_words:
+            names += (f"word {u}", f"word {want} {u}")
+        script = "kana" if KANA.search(masked) else "hangul" if HANGUL.search(masked) else "han" if HAN.search(masked) else "latin" if words else "none"
+        names += [script, f"{want}|{script}"]
+        wrapped = WRAPPER.search(part)
+        own = squeezed(WRAPPER.sub("", part) if wrapped else part)
         grams = bigrams(own)
-        echo = len(grams & q_grams) / len(grams) if own else 0.0
-        same = bool(own) and (own in q_squeezed and (len(own) >= 6 or own == q_squeezed) or q_squeezed and not own.replace(q_squeezed, ""))
-        found = None if code else language(unquoted if re.search(r"\w", unquoted) else part)
-        alike = found is not None and want is not None and (found == want or found == "han" and want in ("ja", "zh"))
-        other = found is not None and want is not None and not alike
-        refused = not code and bool(REFUSAL_SEED.search(unquoted))
-        offered = not code and bool(OFFER.search(unquoted))
-        wrapped = bool(WRAPPER.search(part)) and (same or not own)
-        last = i == len(parts) - 1
-        rows.append([
-            1, i == 0, last, len(parts) == 1, code, "`" in part, bool(BULLET.match(part)), bool(re.search(r"\d", part)), alike, other, found is None,
-            refused, bool(SOFT_NO.search(unquoted)), bool(APOLOGY.search(unquoted)), offered, same or wrapped, echo >= 0.8, 0.4 <= echo < 0.8, bool(WRAPPER.search(part)),
-            bool(TERMINATED.search(part)), part.count("`") % 2 == 1, last and cut, len(part) < 12, len(part) > 60,
-        ])
-        before = seeds[-1] if seeds else None
-        if same or wrapped:
-            seeds.append(ECHO)
-        elif refused or offered and before in (None, REFUSAL):
-            seeds.append(REFUSAL)
-        elif other:
-            seeds.append(FOREIGN)
-        elif last and cut:
-            seeds.append(UNFINISHED)
+        echo = len(grams & q_grams) / len(grams) if own else 1.0
+        inside = "whole" if own and own in q_own else "extra"
+        names += [f"echo {int(echo * 10)} {inside} {min(len(own) // 6, 2)}", "wrapper" if wrapped else "no wrapper"]
+        if i == len(found) - 1:
+            end = ending(text, closed)
+            names += ["last", "end " + end]
         else:
-            seeds.append(ANSWER)
-    return [p for p, _ in parts], np.array(rows, dtype=float).reshape(len(parts), len(FEATURES)), np.array(seeds, dtype=int)
+            names.append("inner")
+        rows.append(names)
+        prose.append(sum(map(len, words)))
+    return [p for p, _ in found], [c for _, c in found], rows, prose
 
 
-def says_nothing(answer: str | None) -> bool:
-    """No text, or only marks, labels or a stand-in for a missing value."""
+def labels(question: str, answer: str) -> list[int]:
+    """Labels that rules give the clauses of an answer, for fitting only."""
+    parts, code, _, _ = analyse(question, answer)
     text = bare(LABEL.sub("", bare(plain(answer)) + "\n"))
-    kept = re.sub(r"(?m)^\s*(?:```|~~~)\w*\s*$", "", text)
-    word = re.sub(r"^[\W_]+|[\W_]+$", "", kept)
-    return not re.search(r"\w", word.replace("_", "")) or bool(STAND_IN.match(word))
+    want, _, q_own, _ = asked(question)
+    out: list[int] = []
+    for i, part in enumerate(parts):
+        unquoted = CODE.sub(" ", QUOTED.sub(" ", part))
+        own = squeezed(WRAPPER.sub("", part))
+        same = not own or own in q_own and (len(own) >= 6 or own == q_own) or bool(q_own) and not own.replace(q_own, "")
+        found = None if code[i] else language(unquoted if re.search(r"\w", unquoted) else part)
+        other = found is not None and want != "none" and found != want and not (found == "han" and want in ("ja", "zh"))
+        if same:
+            out.append(ECHO)
+        elif not code[i] and (REFUSAL_SEED.search(unquoted) or OFFER.search(unquoted) and (not out or out[-1] == REFUSAL)):
+            out.append(REFUSAL)
+        elif other:
+            out.append(FOREIGN)
+        else:
+            out.append(UNFINISHED if i == len(parts) - 1 and unfinished(text) else ANSWER)
+    return out
 
 
-def defect(question: str, answer: str | None, w: np.ndarray, tr: np.ndarray) -> str | None:
-    """The pair's first defect, from the share of the answer that each tag covers, or None."""
-    if says_nothing(answer):
-        return "empty"
-    parts, features, _ = analyse(question, answer)
+def examples(rows: list[tuple[str, str, list[int]]]) -> Iterator[tuple[str, str, list[int]]]:
+    """The labelled pairs, and pairs with planted defects: repeated questions, cut answers, and answers to questions in another language."""
+    sound = [(q, a) for q, a, tags in rows if not any(tags)]
+    yield from rows
+    for i, (question, _, _) in enumerate(rows):
+        if i % 6 == 0:
+            copy = (f"{question} [C:1]", f"Q: {question}", question.upper())[i // 6 % 3]
+            yield question, copy, [ECHO] * len(analyse(question, copy)[0])
+    for i, (question, answer) in enumerate(sound):
+        if i % 3 == 0:
+            cut = answer[: max(len(answer) * (30 + i * 7 % 60) // 100, 1)]
+            tags = labels(question, cut)
+            if tags and unfinished(cut):
+                yield question, cut, [*tags[:-1], UNFINISHED]
+        elif i % 3 == 1:
+            other = next((q for q, _ in sound[i + 1 : i + 40] if asked(q)[0] != asked(question)[0]), None)
+            if other:
+                yield other, answer, labels(other, answer)
+
+
+def defect(question: str, answer: str | None, model: Model) -> str | None:
+    """The pair's first defect, from the share of the answer that each tag covers, or None. Exact checks confirm copies and cut endings."""
+    parts, _, rows, prose = analyse(question, answer)
     if not parts:
         return "empty"
-    tags = crf.decode(features, w, tr)
-    sizes = np.array([max(len(squeezed(p)), 1) for p in parts], dtype=float)
-    share = np.bincount(tags, weights=sizes, minlength=len(LABELS)) / sizes.sum()
-    code = features[:, FEATURES.index("code")] > 0
-    prose = sizes * ~code * (features[:, FEATURES.index("language_none")] == 0)
-    if share[ECHO] > 0.95 and copies(question, answer):
+    vocabulary, w, tr = model
+    tags = crf.decode([[vocabulary[f] for f in names if f in vocabulary] for names in rows], w, tr)
+    cover = [0] * len(LABELS)
+    foreign = 0
+    for part, tag, letters in zip(parts, tags, prose, strict=True):
+        cover[tag] += max(len(part), 1)
+        foreign += letters if tag == FOREIGN else 0
+    total = sum(cover)
+    if cover[ECHO] > 0.9 * total and copies(question, answer):
         return "copy"
-    if share[REFUSAL] > 0 and share[REFUSAL] + share[ECHO] > 0.99:
+    if cover[REFUSAL] > 0 and cover[REFUSAL] + cover[ECHO] == total:
         return "refusal"
-    if prose.sum() and (prose * (tags == FOREIGN)).sum() / prose.sum() > 0.5:
+    if foreign > 0.5 * sum(prose):
         return "language"
-    return "truncated" if tags[-1] == UNFINISHED or unfinished(plain(answer)) and tags[-1] != ECHO else None
+    return "truncated" if tags[-1] == UNFINISHED and unfinished(plain(answer)) else None
 
 
 def copies(question: str, answer: str) -> bool:
@@ -251,22 +340,40 @@ def question_pairs(eval_sessions: DataFrame, query_results: DataFrame, salts: in
     return own.unionByName(results.select(F.lit("result").alias("origin"), "session_id", "turn_id", "result_id", "question", "answer"))
 
 
-def fit(pairs: DataFrame, most: int = FIT_PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """Fit the field on the ``most`` pairs of smallest hash; the driver sees no others."""
-    sample = pairs.where("answer is not null").select("question", "answer", F.xxhash64("origin", "session_id", "turn_id", "result_id").alias("h"))
-    rows = sample.orderBy("h", "question", "answer").limit(most).collect()
-    known = [(x, y) for _, x, y in (analyse(r.question, r.answer) for r in rows) if 0 < len(y) <= 40]
-    if not known:
-        return np.zeros((len(FEATURES), len(LABELS))), np.zeros((len(LABELS), len(LABELS)))
-    return crf.fit([x for x, _ in known], [y for _, y in known], len(LABELS))
+def labelled(pairs: DataFrame, most: int = FIT_PAIRS) -> DataFrame:
+    """``question, answer, tags`` of the ``most`` pairs of smallest hash, every fourth of those without a defect; all that the field is fitted on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags = [labels(q, a) for q, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.list_(pa.int32()))], names=["question", "answer", "h", "tags"])
 
-def defects(pairs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    sample = pairs.where("answer is not null").select("question", "answer", F.xxhash64("origin", "session_id", "turn_id", "result_id").alias("h"))
+    sample = sample.orderBy("h", "question", "answer").limit(most).repartition(16, "h")
+    told = sample.mapInArrow(run, "question string, answer string, h bigint, tags array<int>").where("size(tags) > 0")
+    return told.where(F.exists("tags", lambda t: t > 0) | (F.pmod("h", F.lit(4)) == 0)).orderBy("h", "question", "answer").select("question", "answer", "tags")
+
+
+def fit(pairs: DataFrame, most: int = FIT_PAIRS) -> Model:
+    """Fit the field on the labelled sample; the driver sees no other pairs. Features seen once are left out."""
+    rows = [(r.question, r.answer, list(r.tags)) for r in labelled(pairs, most).collect()]
+    known = [(analyse(q, a)[2], tags) for q, a, tags in examples(rows) if tags]
+    seen = Counter(f for names, _ in known for clause in names for f in clause)
+    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}
+    if not vocabulary:
+        return {}, np.zeros((0, len(LABELS))), np.zeros((len(LABELS), len(LABELS)))
+    ids = [[[vocabulary[f] for f in clause if f in vocabulary] for clause in names] for names, _ in known]
+    # Words speak for or against refusals, echoes and foreign prose; what an answer says, and where it was cut, can be any words.
+    free = np.array([[not f.startswith("word ") or k in (REFUSAL, ECHO, FOREIGN) for k in range(len(LABELS))] for f in vocabulary])
+    return vocabulary, *crf.fit(ids, [tags for _, tags in known], free)
+
+
+def defects(pairs: DataFrame, model: Model) -> DataFrame:
     """Defective pairs ``origin, session_id, turn_id, result_id, defect``; equal rows come once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [defect(q, a, *model) for q, a in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            found = [defect(q, a, model) for q, a in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.string())], names=["origin", "session_id", "turn_id", "result_id", "defect"])
 
     columns = ["origin", "session_id", "turn_id", "result_id", "question", "answer"]

@@ -47,9 +47,9 @@ class Grammar:
     def __post_init__(self) -> None:
         ops = "|".join(re.escape(o) for o in sorted(self.operators.split(), key=len, reverse=True))
         object.__setattr__(self, "pattern", re.compile(
-            rf"(?P<comment>//[^\n]*|/\*)|(?P<space>[ \t\r\f\v\ufeff]+)|(?P<newline>\n)|(?P<str>{self.strings})"
+            rf"(?:(?P<comment>//[^\n]*|/\*)|(?P<space>[ \t\r\f\v\ufeff]+)|(?P<newline>\n)|(?P<str>{self.strings})"
             rf"|(?P<num>(?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d+)(?:[a-zA-Z]\w*)?)"
-            rf"|(?P<word>[^\W\d]\w*[!]?(?=[(\[{{])|[^\W\d]\w*|[$\w]+)|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<op>{ops})"
+            rf"|(?P<word>[^\W\d]\w*[!]?(?=[(\[{{])|[^\W\d]\w*|[$\w]+)|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<op>{ops}))[ \t\r]*"
         ))
 
 
@@ -144,7 +144,8 @@ def tokens(text: str, g: Grammar) -> list[tuple[str, str, bool]]:
         m = g.pattern.match(text, at)
         if not m:
             raise Invalid(f"character {text[at]!r}")
-        kind, piece = m.lastgroup or "", m.group()
+        kind = m.lastgroup or ""
+        piece = m[kind]
         at = m.end()
         if kind == "newline":
             fresh = True
@@ -173,6 +174,11 @@ def tokens(text: str, g: Grammar) -> list[tuple[str, str, bool]]:
     return out
 
 
+#: Words that something must follow, and words whose parenthesis something may follow.
+NEED_NAME = words("new const let var class import interface struct enum typeof instanceof throw package")
+BEFORE_PAREN = words("for while if with switch")
+
+
 def brace_language(text: str, g: Grammar) -> None:
     """Raise Invalid unless tokens, brackets and meetings of tokens are those of the language."""
     toks = tokens(text, g)
@@ -188,9 +194,12 @@ def brace_language(text: str, g: Grammar) -> None:
     asked = [0]
     statement = True
     start_word = ""
-    for i, (kind, t, fresh) in enumerate(toks):
-        pk, p, _ = toks[i - 1] if i else ("start", "", True)
-        nk, nt, _ = toks[i + 1] if i + 1 < len(toks) else ("end", "", True)
+    kind, t, fresh = "start", "", True
+    nk, nt, n_fresh = toks[0]
+    for i in range(len(toks)):
+        pk, p = kind, t
+        kind, t, fresh = nk, nt, n_fresh
+        nk, nt, n_fresh = toks[i + 1] if i + 1 < len(toks) else ("end", "", True)
         ended = pk in ("str", "num", "close") or pk == "word" and (p not in g.lead or p in ("return", "break", "continue", "this", "self", "super", "null", "default", "fallthrough", "get", "set", "of", "as", "from", "async", "type", "data", "value")) or p in g.postfix and pk == "op"
         if not i or p in (";",) or p == "}" or p == "{" or (fresh and g.newline_ends and ended and not (kind == "op" and t not in g.prefix) and kind != "close" and t not in ("else", "catch", "finally", "while")):
             statement = pk != "op" or p == ";"
@@ -233,7 +242,7 @@ def brace_language(text: str, g: Grammar) -> None:
             asked.pop()
             if pk == "op" and p not in g.postfix and p not in (",", ";", "}") and not (p == ":" and inside == "{") and not (p in ("*", "_") and go) and not (go and inside == "[" and p == ":") and not (p == "->") and not (p in ("..", ":", "=>") and inside in ("[", "{")):
                 raise Invalid(f"operator {p!r} before {t!r}")
-            if pk == "word" and p in g.function_words | words("new const let var class import interface struct enum typeof instanceof throw package"):
+            if pk == "word" and (p in g.function_words or p in NEED_NAME):
                 if not (p in ("class", "struct", "interface") or go and p in ("func",)):
                     raise Invalid(f"{p} before {t!r}")
         else:
@@ -242,7 +251,7 @@ def brace_language(text: str, g: Grammar) -> None:
                 head = opener.get(i - 1, -1)
                 before = toks[head - 1][1] if head > 0 else ""
                 lead = pk == "word" and p in g.lead
-                called = p == ")" and (before in g.paren_words | words("for while if with switch") or before in g.function_words)
+                called = p == ")" and (before in g.paren_words or before in BEFORE_PAREN or before in g.function_words)
                 signature = p == ")" and (go and (before in ("func",) or head > 1 and (toks[head - 2][1] == "func" or toks[head - 2][1] == ")" or toks[head - 1][1] in ("func", ")"))))
                 named = g.typed_names and kind == "word" and (pk == "word" or p in ("]",)) and nk != "str" and (not go or inside == "(" or inside == "{" or start_word in ("type", "var", "const", "func", "import", "package") or p == "]")
                 if named and not go:

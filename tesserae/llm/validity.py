@@ -35,10 +35,23 @@ SIGN_TOKEN = re.compile(r"@?[A-Za-z_]+|:=|=>|===|->|::|\":|&str|[-=:\[\]{}]")
 
 
 def ranked(text: str) -> list[str]:
-    """Languages that show a sign (two for YAML, which takes almost any line), from the likeliest to the least likely by the share of their signs among the tokens."""
+    """All languages, from the likeliest to the least likely by the share of their signs among the tokens."""
     seen = Counter(SIGN_TOKEN.findall(text))
-    shown = [k for k in SIGNS if sum(seen[s] > 0 for s in SIGN_SETS[k]) >= 1 + (k == "yaml")]
-    return sorted(shown, key=lambda k: (-sum(seen[s] > 0 for s in SIGN_SETS[k]) / len(SIGN_SETS[k]), -sum(seen[s] for s in SIGN_SETS[k]), k))
+    return sorted(SIGNS, key=lambda k: (-sum(seen[s] > 0 for s in SIGN_SETS[k]) / len(SIGN_SETS[k]), -sum(seen[s] for s in SIGN_SETS[k]), k))
+
+
+def foreign(text: str, language: str) -> str | None:
+    """The likeliest other language whose grammar takes the text; every grammar is tried until one does.
+
+    A parse counts if the text shows a word or mark of the language too (two of YAML), as many a text of other kinds is an
+    expression, a scalar or a command by chance.
+    """
+    for k in ranked(text):
+        if k != language and grammars.parses(text, k):
+            seen = set(SIGN_TOKEN.findall(text))
+            if len(SIGN_SETS[k] & seen) >= 1 + (k == "yaml"):
+                return k
+    return None
 
 
 def verdict(text: str | None, language: str | None) -> tuple[bool | None, str | None]:
@@ -55,7 +68,7 @@ def verdict(text: str | None, language: str | None) -> tuple[bool | None, str |
         return None, None
     if grammars.parses(text, language):
         return True, None
-    return False, next((k for k in ranked(text) if k != language and text.strip() and grammars.parses(text, k)), None)
+    return False, foreign(text, language) if text.strip() else None
 
 
 def checked(files: DataFrame) -> DataFrame:

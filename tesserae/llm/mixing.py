@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import gcd
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.tables import stored
+
 SEED = 20
 #: Buckets of a source's random order; running totals are taken inside buckets, so that no source is one task's work.
 BUCKETS = 1024
@@ -24,8 +25,8 @@ BLOCK_TOKENS = 16_384
 SHARD_TOKENS = 1_000_000
 #: Parts in which the records of one length are ranked, so that a frequent length isn't one task's work.
 RANK_SHARES = 64
-#: Rows of ``mix_targets`` up to which the quotas are put into the plan as literals; above, Spark joins them.
-SMALL_TARGETS = 10_000
+#: Rounds of the seeded network that permutes a source's blocks.
+PERMUTE_ROUNDS = 4
 
 
 def token_streams(sizes: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
@@ -65,12 +66,6 @@ def quotas(streams: DataFrame, targets: DataFrame) -> DataFrame:
     return both.withColumn("rest", F.when(usable, F.col("quota") - F.col("passes") * F.col("available")).otherwise(0).cast("bigint"))
 
 
-def small(df: DataFrame, most: int = SMALL_TARGETS) -> DataFrame:
-    """``df`` as literals, which Spark may broadcast, if it has at most ``most`` rows; else unchanged."""
-    rows = df.limit(most + 1).collect()
-    return df if len(rows) > most else df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def fill_gap(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one mix and source, how many records of each length close the gap: the longest that still fits, again and again."""
     room, reached, rows = int(pdf["gap"].iloc[0]), int(pdf["reached"].iloc[0]), []
@@ -93,10 +88,10 @@ def fillers_of(spare: DataFrame) -> DataFrame:
     spare = spare.withColumn("share", F.pmod("h", F.lit(RANK_SHARES)).cast("int"))
     counts = spare.groupBy(*length, "share", "reached", "gap").agg(F.count("*").alias("n"))
     sums = counts.groupBy(*length, "reached", "gap").agg(F.sum("n").alias("n"))
-    takes = small(sums.groupBy("mix_name", "source").applyInPandas(fill_gap, sums.select(*length, F.lit(0).cast("bigint").alias("take"), F.lit(0).cast("bigint").alias("first_place")).schema))
+    takes = stored(sums.groupBy("mix_name", "source").applyInPandas(fill_gap, sums.select(*length, F.lit(0).cast("bigint").alias("take"), F.lit(0).cast("bigint").alias("first_place")).schema))
     before = Window.partitionBy(*length).orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.join(takes, length).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    parts = small(parts.where("before < take").select(*length, "share", (F.col("take") - F.col("before")).alias("left"), (F.col("first_place") + F.col("before") * F.col("n_tokens")).alias("from_place")))
+    parts = stored(parts.where("before < take").select(*length, "share", (F.col("take") - F.col("before")).alias("left"), (F.col("first_place") + F.col("before") * F.col("n_tokens")).alias("from_place")))
     ranked = spare.join(parts, [*length, "share"]).withColumn("rank", F.row_number().over(Window.partitionBy(*length, "share").orderBy("h", "start")))
     return ranked.where("rank <= left").select("mix_name", "source", "start", (F.col("from_place") + (F.col("rank") - 1) * F.col("n_tokens")).alias("place"))
 
@@ -112,9 +107,9 @@ def select(streams: DataFrame, quota: DataFrame) -> DataFrame:
     inside = ends <= F.col("rest")
     last = (F.col("rest") > 0) & (F.col("passes") < F.col("max_repeats"))
     reached = records.where(last).groupBy("mix_name", "source", "rest").agg(F.coalesce(F.max(F.when(inside, ends)), F.lit(0)).alias("reached"))
-    reached = small(reached.select("mix_name", "source", "reached", (F.col("rest") - F.col("reached")).alias("gap")))
+    reached = stored(reached.select("mix_name", "source", "reached", (F.col("rest") - F.col("reached")).alias("gap")))
     spare = records.where(last & ~inside).join(reached, ["mix_name", "source"]).where("n_tokens <= gap")
-    fillers = small(fillers_of(spare.select("mix_name", "source", "n_tokens", "h", "start", "reached", "gap")))
+    fillers = stored(fillers_of(spare.select("mix_name", "source", "n_tokens", "h", "start", "reached", "gap")))
     chosen = records.join(fillers, ["mix_name", "source", "start"], "left")
     extra = (last & (inside | F.col("place").isNotNull())).cast("int")
     chosen = chosen.withColumn("copies", F.col("passes") + extra).where("copies > 0")
@@ -132,6 +127,28 @@ def node_draw(counts: np.ndarray, take: int, *node: object) -> np.ndarray:
     return out
 
 
+def permuted(at: np.ndarray, size: int, *key: object) -> np.ndarray:
+    """Places of ``at`` in a random order of ``range(size)`` that the key fixes, without making the order.
+
+    A Feistel network on the next even number of bits, walked on until it lands below ``size``, is a permutation.
+    """
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    keys = np.frombuffer(hashlib.blake2b(repr(key).encode(), digest_size=8 * PERMUTE_ROUNDS).digest(), dtype=np.uint64)
+    out = at.astype(np.uint64)
+    todo = np.ones(len(out), dtype=bool)
+    while todo.any():
+        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+        for k in keys:
+            mixed = (right ^ k) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ (mixed >> np.uint64(32)) & mask
+        out[todo] = left << np.uint64(half) | right
+        todo = out >= size
+    return out.astype(np.int64)
+
+
 def shard_blocks(quota: DataFrame, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Which blocks go to which shard: ``mix_name, source, block, shard``.
 
@@ -160,10 +177,7 @@ def shard_blocks(quota: DataFrame, seed: int = SEED, block_tokens: int = BLOCK_T
                         counts, first, lo = counts - left, first + left, middle
                 for name, n, start, total in zip(names, counts, first, whole, strict=True):
                     if n:
-                        step = max(1, int(total * 0.618))
-                        while gcd(step, int(total)) != 1:
-                            step += 1
-                        block = (np.arange(start, start + n) * step) % total
+                        block = permuted(np.arange(start, start + n), int(total), seed, mix, name)
                         yield pd.DataFrame({"mix_name": mix, "source": name, "block": block, "shard": np.int64(shard)})
 
     return shards.mapInPandas(walk, "mix_name string, source string, block bigint, shard bigint")

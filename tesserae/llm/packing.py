@@ -7,16 +7,15 @@ their rank within their length. The histogram has at most ``capacity`` entries,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.tables import stored
+
 #: Shares in which the documents of one length are ranked; a length may hold a third of all rows.
 SALTS = 64
-MAX_KINDS = 1000
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -64,6 +63,24 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return slots, containers
 
 
+SLOTS = "container_kind string, capacity int, length int, first bigint, ranks bigint, base bigint, per int, offset int, containers bigint"
+
+
+def plans(histogram: DataFrame) -> DataFrame:
+    """The planned slots of every kind of container; each kind is planned in one task, from a histogram of at most ``capacity`` rows.
+
+    A kind without items of any length has one row of null length, which tells its number of containers.
+    """
+
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, capacity = keys
+        slots, n = plan({int(k): int(v) for k, v in zip(pdf["length"], pdf["n"], strict=True) if k}, int(capacity))
+        rows = [(kind, capacity, *slot, max(n, 1)) for slot in slots] + [(kind, capacity, 0, 0, 0, 0, 1, 0, max(n, 1))]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SLOTS.split(", ")])
+
+    return histogram.groupBy("container_kind", "capacity").applyInPandas(run, SLOTS)
+
+
 def pack(sizes: DataFrame, limits: DataFrame, salts: int = SALTS) -> DataFrame:
     """Assign every document to containers of every kind.
 
@@ -72,63 +89,41 @@ def pack(sizes: DataFrame, limits: DataFrame, salts: int = SALTS) -> DataFrame:
     document above the capacity is split, into full containers and one rest that is packed like any other.
     Null sizes count as 0; documents of 0 tokens take no room and are spread over the containers. Kinds with
     a null or non-positive capacity are left out; an equal capacity given twice for one kind counts once.
+
+    A length's items are ranked in ``salts`` shares, as a length may be a third of all rows. Counts, offsets of shares
+    and the parts of slots that fall into a share are tables that Spark joins; nothing passes through the driver.
     """
-    kinds = limits.where("capacity_tokens > 0 and container_kind is not null").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity"))
-    kinds = [tuple(r) for r in kinds.distinct().orderBy("container_kind", "capacity").limit(MAX_KINDS + 1).collect()]
-    if len(kinds) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} container kinds")
-    columns = "container_kind string, doc_id bigint, piece int, n_pieces int, n_tokens int, container_id bigint, token_offset int"
-    spark = sizes.sparkSession
-    if not kinds:
-        return spark.createDataFrame([], columns)
-    kind = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(c).alias("capacity")) for i, (_, c) in enumerate(kinds)])).alias("k")
-    cells = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n"), kind).select("doc_id", "n", "k.*")
+    kinds = limits.where("capacity_tokens > 0 and container_kind is not null").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity")).distinct()
+    cells = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n"), kinds.agg(F.collect_set(F.struct("container_kind", "capacity"))).scalar().alias("kinds"))
+    cells = cells.select("doc_id", "n", F.explode("kinds").alias("k")).select("doc_id", "n", "k.*")
     cells = cells.withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity"))).cast("int"))
     pieces = cells.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     pieces = pieces.withColumn("length", F.least("capacity", F.col("n") - F.col("piece") * F.col("capacity")).cast("int"))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    pieces = pieces.select("kind", "length", "salt", "doc_id", "piece", "n_pieces")
-    span = 1 + max(c for _, c in kinds)
-
-    shares = pieces.groupBy("kind", "length", "salt").count().toPandas().sort_values(["kind", "length", "salt"])
-    by_length = shares.groupby(["kind", "length"])["count"]
-    before = (by_length.cumsum() - shares["count"]).to_numpy(dtype=np.int64)
-    starts = ((shares["kind"] * span + shares["length"]) * salts + shares["salt"]).to_numpy(dtype=np.int64)
-    counts = by_length.sum()
-    slots, containers = [], []
-    for i, (_, capacity) in enumerate(kinds):
-        own = counts.loc[[i]].droplevel(0) if i in counts.index else counts.iloc[:0].droplevel(0)
-        planned, n = plan({int(length): int(x) for length, x in own.items() if length}, capacity)
-        containers.append(max(n, 1))
-        slots += [(i * span + length, *rest) for length, *rest in planned]
-    slot = np.array(sorted((key, first, base, per, offset) for key, first, _, base, per, offset in slots), dtype=np.int64).reshape(-1, 5)
-    # Bounded by the sum of the capacities times salts, whatever the corpus: 8-byte numbers.
-    shared = spark.sparkContext.broadcast((starts, before, slot, np.array(containers)))
-    names = [name for name, _ in kinds]
-
-    in_share = Window.partitionBy("kind", "length", "salt").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("r", F.row_number().over(in_share) - 1)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, before, slot, containers = shared.value
-        width = int(slot[:, 1].max(initial=0)) + 1
-        composite = slot[:, 0] * width + slot[:, 1]
-        for batch in batches:
-            k, length, salt, r = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("kind", "length", "salt", "r"))
-            rank = before[np.searchsorted(starts, (k * span + length) * salts + salt)] + r
-            base, offset = rank % containers[k], np.zeros(len(k), dtype=np.int64)
-            some = np.flatnonzero(length > 0)
-            if len(some):
-                at = np.searchsorted(composite, (k[some] * span + length[some]) * width + np.minimum(rank[some], width - 1), side="right") - 1
-                _, first, start, per, within = slot[at].T
-                base[some] = start + (rank[some] - first) // per
-                offset[some] = within + (rank[some] - first) % per * length[some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in k], pa.string()), batch.column("doc_id"), batch.column("piece"), batch.column("n_pieces"), pa.array(length, pa.int32()), pa.array(base, pa.int64()), pa.array(offset, pa.int32())],
-                names=["container_kind", "doc_id", "piece", "n_pieces", "n_tokens", "container_id", "token_offset"],
-            )
-
-    return ranked.mapInArrow(place, columns)
+    length, share = ["container_kind", "capacity", "length"], ["container_kind", "capacity", "length", "salt"]
+    pieces = pieces.select(*share, "doc_id", "piece", "n_pieces")
+
+    counts = stored(pieces.groupBy(*share).agg(F.count("*").alias("n")))
+    earlier = Window.partitionBy(*length).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    slots = stored(plans(counts.groupBy(*length).agg(F.sum("n").alias("n"))))
+    # The slots that a share's ranks fall into: those of its length that begin before the share ends and end after it begins.
+    slot = F.struct("first", "base", "per", "offset")
+    meets = (F.col("first") < F.col("before") + F.col("n")) & (F.col("first") + F.col("ranks") > F.col("before"))
+    near = before.where("length > 0").join(slots.where("length > 0").drop("containers"), length).where(meets).groupBy(*share).agg(F.collect_list(slot).alias("slots"))
+    containers = slots.where("length = 0").select("container_kind", "capacity", "containers")
+    places = stored(before.drop("n").join(near, share, "left").join(containers, ["container_kind", "capacity"]))
+
+    in_share = Window.partitionBy(*share).orderBy("doc_id", "piece")
+    ranked = pieces.withColumn("r", F.row_number().over(in_share) - 1).join(places, share).withColumn("rank", F.col("before") + F.col("r"))
+    at = F.array_max(F.filter("slots", lambda s: s["first"] <= F.col("rank")))
+    found = ranked.withColumn("slot", at)
+    own = F.col("rank") - F.col("slot.first")
+    return found.select(
+        "container_kind", "doc_id", "piece", "n_pieces", F.col("length").alias("n_tokens"),
+        F.when(F.col("slot").isNull(), F.col("rank") % F.col("containers")).otherwise(F.col("slot.base") + F.floor(own / F.col("slot.per"))).cast("bigint").alias("container_id"),
+        F.when(F.col("slot").isNull(), 0).otherwise(F.col("slot.offset") + own % F.col("slot.per") * F.col("length")).cast("int").alias("token_offset"),
+    )
 
 
 def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import conversations, lookalike, mixing, packing, pairs, percentiles, provenance, reading, tokens, validity
-from tesserae.sources.tables import cut, table
+from tesserae.sources.tables import cut, stored, table
 
 GROUP = ["repo_id", "variant_name", "day"]
 
@@ -88,7 +88,7 @@ def p6_canonical(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     """Every document's place in containers of each kind."""
-    sizes = cut(tokens.with_token_counts(table(spark, root, "documents"), ["doc_id"]))
+    sizes = stored(tokens.with_token_counts(table(spark, root, "documents"), ["doc_id"]))
     return packing.pack(sizes, table(spark, root, "pack_limits"))
 
 
@@ -98,8 +98,9 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _mix_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    streams = cut(mixing.token_streams(tokens.with_token_counts(table(spark, root, "documents"), ["source", "doc_id"])))
-    quota = mixing.small(mixing.quotas(streams, table(spark, root, "mix_targets")))
+    sizes = stored(tokens.with_token_counts(table(spark, root, "documents"), ["source", "doc_id"]))
+    streams = stored(mixing.token_streams(sizes))
+    quota = stored(mixing.quotas(streams, table(spark, root, "mix_targets")))
     return mixing.select(streams, quota), quota
 
 

@@ -438,7 +438,7 @@ def test_token_counts(spark):
 
 def mixed(spark, sizes, targets):
     streams = mixing.token_streams(sizes, buckets=5).cache()
-    quota = mixing.small(mixing.quotas(streams, targets))
+    quota = mixing.quotas(streams, targets).cache()
     chosen = mixing.select(streams, quota)
     return quota, chosen, mixing.mix(chosen, mixing.shard_blocks(quota, block_tokens=200, shard_tokens=3000), block_tokens=200)
 
@@ -464,6 +464,16 @@ def test_shares_repeats_and_shards(spark):
     assert mixed(spark, df.limit(0), targets)[2].count() == 0 and mixed(spark, df, targets.limit(0))[2].count() == 0
 
 
+def test_blocks_are_permuted_by_the_seed():
+    for size in (1, 2, 3, 7, 100, 1000, 4097):
+        orders = [mixing.permuted(np.arange(size), size, seed, "m", "a") for seed in range(3)]
+        assert all(sorted(o) == list(range(size)) for o in orders)
+        whole = np.concatenate([mixing.permuted(np.arange(0, size // 2), size, 0, "m", "a"), mixing.permuted(np.arange(size // 2, size), size, 0, "m", "a")])
+        assert (whole == orders[0]).all()
+        if size >= 100:
+            assert (orders[0] != orders[1]).mean() > 0.9 and abs(np.corrcoef(orders[0][:-1], orders[0][1:])[0, 1]) < 0.35
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quota = spark.createDataFrame([("m", "a", 10_000), ("m", "b", 5_050), ("m", "c", 1)], "mix_name string, source string, quota bigint")
     got = mixing.shard_blocks(quota, block_tokens=10, shard_tokens=700).collect()

@@ -20,10 +20,20 @@ def indexed_text(path: str = "rel_path", header: str = "section_header", content
     return F.concat_ws(" ", path, F.coalesce(F.col(header), F.lit("")), content)
 
 
+def tokenised(texts: DataFrame, key: str, text: Column, *keep: str) -> DataFrame:
+    """``key, keep, tokens, dl`` of every text; all of an index derives from it, so texts are read and cut into tokens once."""
+    return texts.select(key, *keep, bm25_tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
+
+
+def postings_of(tokens: DataFrame, key: str) -> DataFrame:
+    """``key, token, tf, dl`` of tokenised texts, in the order of tokens within partitions, which keeps stored postings small."""
+    counts = tokens.select(key, "dl", F.explode("tokens").alias("token")).groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
+    return counts.sortWithinPartitions("token", key)
+
+
 def postings(texts: DataFrame, key: str, text: Column) -> DataFrame:
     """``key, token, tf, dl``: how often a token occurs in a text of ``dl`` tokens. Null texts have no tokens."""
-    tokens = texts.select(key, bm25_tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
-    return tokens.select(key, "dl", F.explode("tokens").alias("token")).groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
+    return postings_of(tokenised(texts, key, text), key)
 
 
 def term_statistics(posts: DataFrame, n_texts: Column) -> DataFrame:
@@ -42,8 +52,13 @@ def length_statistics(texts: DataFrame, text: Column) -> DataFrame:
 
 def hashed_vectors(texts: DataFrame, key: str, text: Column, width: int = 64) -> DataFrame:
     """``key, vector``: unit vectors of token counts in ``width`` hashed slots; the default for a text encoder, which would be a pandas UDF."""
+    return vectors_of(texts.select(key, F.explode(bm25_tokens(text)).alias("token"), F.lit(1).alias("tf")), key, width)
+
+
+def vectors_of(posts: DataFrame, key: str, width: int = 64) -> DataFrame:
+    """The hashed vectors of texts whose postings are given; texts without tokens have none."""
     slot = (F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("int") % width).alias("slot")
-    counts = texts.select(key, F.explode(bm25_tokens(text)).alias("token")).select(key, slot).groupBy(key, "slot").count()
+    counts = posts.select(key, slot, "tf").groupBy(key, "slot").agg(F.sum("tf").alias("count"))
     slots = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "count"))).alias("m"))  # at most `width` entries
     dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
     return slots.select(key, unit(dense).alias("vector"))

@@ -48,3 +48,17 @@ scores as (
     select query_id, chunk_no, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
     from asked join terms using (token) join posts using (token), lens group by all
 )"""
+
+#: Hashed vectors of postings: counts per slot and their norm.
+SLOTS = """, {2} as (select {1}, ('0x' || left(md5(token), 4))::int % 64 as slot, sum(tf)::double as n from {0} group by all), {2}_norm as (select {1}, sqrt(sum(n * n)) as norm from {2} group by all)"""
+
+#: Lexical and vector lists of 40, each over its query's best, in one outer union with ranks.
+HYBRID = BM25 + SLOTS.format("posts", "chunk_no", "slots") + SLOTS.format("(select query_id, token, qf as tf from asked)", "query_id", "qslots") + """,
+dots as (select query_id, chunk_no, sum(qslots.n * slots.n) as dot from qslots join slots using (slot) group by all),
+cosines as (select q.query_id, s.chunk_no, round(coalesce(dot, 0) / (q.norm * s.norm), 6) as score from qslots_norm q cross join slots_norm s left join dots d on d.query_id = q.query_id and d.chunk_no = s.chunk_no),
+dense as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_no) as k from cosines) where k <= 40),
+lexical as (select * from (select query_id, chunk_no, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, rel_path, start_line, chunk_no) as k from scores join chunks using (chunk_no)) where k <= 40),
+a as (select query_id, chunk_no, score / coalesce(nullif(max(score) over (partition by query_id), 0), 1) as s from lexical),
+b as (select query_id, chunk_no, score / coalesce(nullif(max(score) over (partition by query_id), 0), 1) as s from dense),
+u as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_no, b.chunk_no) as chunk_no, coalesce(a.s, 0) as lexical_score, coalesce(b.s, 0) as dense_score from a full join b on a.query_id = b.query_id and a.chunk_no = b.chunk_no),
+fused as (select *, row_number() over (partition by query_id order by score desc, chunk_no) as rank from (select *, round(0.45 * lexical_score + 0.45 * dense_score, 6) as score from u))"""

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.functions.vectors import norm
 from tesserae.operators import index, retrieval
 from tesserae.plans.conversation import eval_turns
-from tesserae.plans.fragments import BM25, CJK, QUESTIONS, TEXT, features, tokens
-from tesserae.sources.tables import cut, table
+from tesserae.plans.fragments import BM25, CJK, HYBRID, SLOTS, TEXT, features, tokens
+from tesserae.sources.tables import stored, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -95,20 +96,56 @@ def questions(spark: SparkSession, root: str) -> DataFrame:
     return asked.join(turns, ["session_id", "turn_id"]).where("query is not null").select("query_id", "query")
 
 
-def bm25(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Questions, chunks and the scores of those sharing a token."""
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, root: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """An index table of a table set, built and stored once per application and read by all its queries."""
+    key = (spark.sparkContext.applicationId, root, name)
+    if key not in _KEPT:
+        _KEPT[key] = stored(build())
+    return _KEPT[key]
+
+
+def chunk_tokens(spark: SparkSession, root: str) -> DataFrame:
+    return kept(spark, root, "tokens", lambda: index.tokenised(table(spark, root, "chunks"), "chunk_no", index.indexed_text(), "rel_path", "start_line"))
+
+
+def chunk_postings(spark: SparkSession, root: str) -> DataFrame:
+    return kept(spark, root, "postings", lambda: index.postings_of(chunk_tokens(spark, root), "chunk_no"))
+
+
+def chunk_terms(spark: SparkSession, root: str) -> DataFrame:
+    return kept(spark, root, "terms", lambda: index.term_statistics(chunk_postings(spark, root), F.lit(chunk_tokens(spark, root).count())))
+
+
+def chunk_lengths(spark: SparkSession, root: str) -> DataFrame:
+    return kept(spark, root, "lengths", lambda: chunk_tokens(spark, root).agg(F.count("*").alias("n_texts"), F.avg("dl").alias("avgdl")))
+
+
+def chunk_vectors(spark: SparkSession, root: str) -> DataFrame:
+    return kept(spark, root, "vectors", lambda: index.vectors_of(chunk_postings(spark, root), "chunk_no").withColumnRenamed("chunk_no", "item_id"))
+
+
+def chunk_calls(spark: SparkSession, root: str) -> DataFrame:
     chunks = table(spark, root, "chunks")
-    asked = questions(spark, root)
-    posts = cut(index.postings(chunks, "chunk_no", index.indexed_text()))
-    lengths = index.length_statistics(chunks, index.indexed_text())
-    terms = index.term_statistics(posts, F.lit(chunks.count()))
-    return asked, chunks, retrieval.bm25_scores(asked, posts, terms, lengths, "chunk_no")
+    return kept(spark, root, "calls", lambda: index.call_edges(chunks, index.definitions(chunks)))
+
+
+def build_index(spark: SparkSession, root: str) -> None:
+    """Build all index tables of a table set, so that searches only read them."""
+    for part in (chunk_tokens, chunk_postings, chunk_terms, chunk_lengths, chunk_vectors, chunk_calls):
+        part(spark, root)
+
+
+def scored(spark: SparkSession, root: str, asked: DataFrame) -> DataFrame:
+    """Scores of the chunks sharing a token with the queries, with the chunk's place."""
+    scores = retrieval.bm25_scores(asked, chunk_postings(spark, root), chunk_terms(spark, root), chunk_lengths(spark, root), "chunk_no")
+    return scores.join(chunk_tokens(spark, root).select("chunk_no", "rel_path", "start_line"), "chunk_no").withColumn("score", F.round("score", 6))
 
 
 def lexical_top(spark: SparkSession, root: str, k: int) -> DataFrame:
-    _, chunks, scores = bm25(spark, root)
-    placed = scores.join(chunks.select("chunk_no", "rel_path", "start_line"), "chunk_no").withColumn("score", F.round("score", 6))
-    return retrieval.top_k(placed, k, ["query_id"], [F.desc("score"), F.asc("rel_path"), F.asc("start_line"), F.asc("chunk_no")])
+    return retrieval.top_k(scored(spark, root, questions(spark, root)), k, ["query_id"], [F.desc("score"), F.asc("rel_path"), F.asc("start_line"), F.asc("chunk_no")])
 
 
 @query(BM25 + """, placed as (
@@ -125,10 +162,9 @@ placed as (select *, row_number() over (partition by query_id order by score des
 select query_id, chunk_no, score, rank from placed where rank <= 10""")
 def ret_01_bm25_topk_filled(spark: SparkSession, root: str) -> DataFrame:
     """Zero-score chunks, in corpus order, fill lists shorter than k."""
-    asked, chunks, scores = bm25(spark, root)
+    asked, chunks = questions(spark, root), table(spark, root, "chunks")
     first = chunks.orderBy("rel_path", "start_line", "chunk_no").limit(10).select("chunk_no", "rel_path", "start_line").collect()
-    hits = scores.join(chunks.select("chunk_no", "rel_path", "start_line"), "chunk_no").withColumn("score", F.round("score", 6))
-    hits = retrieval.top_k(hits, 10, ["query_id"], [F.desc("score"), F.asc("rel_path"), F.asc("start_line"), F.asc("chunk_no")])
+    hits = lexical_top(spark, root, 10)
     filled = retrieval.with_zero_rows(hits.select("query_id", "chunk_no", "score", F.col("rank").cast("bigint").alias("ord")), asked, [(r.chunk_no, 1000 + i) for i, r in enumerate(first)], "chunk_no", 10)
     return retrieval.top_k(filled, 10, ["query_id"], [F.desc("score"), F.asc("ord")]).select("query_id", "chunk_no", "score", "rank")
 
@@ -138,9 +174,8 @@ posts as (select distinct chunk_no, token from (select chunk_no, unnest(toks) as
 raw as (select token, count(*) as df, ln((select count(*) from chunks) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from posts group by token)
 select token, df, round(case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end, 6) as idf from raw""")
 def idx_01_term_statistics(spark: SparkSession, root: str) -> DataFrame:
-    chunks = table(spark, root, "chunks")
-    posts = index.postings(chunks, "chunk_no", index.indexed_text())
-    return index.term_statistics(posts, F.lit(chunks.count())).select("token", "df", F.round("idf", 6).alias("idf"))
+    tokens = stored(index.tokenised(table(spark, root, "chunks"), "chunk_no", index.indexed_text()))
+    return index.term_statistics(index.postings_of(tokens, "chunk_no"), F.lit(tokens.count())).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"select doc_id, len(t) as n_tokens, md5(array_to_string(t, ' ')) as digest from (select doc_id, {tokens('text')} as t from documents)")
@@ -229,32 +264,29 @@ def ret_02_dense_topk(spark: SparkSession, root: str) -> DataFrame:
     """Every vector whose id is divisible by 50 against all vectors."""
     vectors = table(spark, root, "embeddings")
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = retrieval.dense_topk(asked, vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 12)
-    found = found.withColumn("score", F.round("score", 6)).drop("rank")
-    return retrieval.top_k(found, 10, ["query_id"], [F.desc("score"), F.asc("item_id")]).select("query_id", "item_id", "score", "rank")
+    return retrieval.dense_topk(asked, vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10, digits=6)
 
 
-@query()
+@query(BM25 + SLOTS.format("posts", "chunk_no", "slots") + """ select chunk_no, slot::bigint as slot, round(n / norm, 6) as x from slots join slots_norm using (chunk_no)""")
 def idx_03_hashed_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """Default encoder of chunks: unit vectors, so every norm is 1."""
-    vectors = index.hashed_vectors(table(spark, root, "chunks"), "chunk_no", index.indexed_text())
-    return vectors.select("chunk_no", F.round(norm(F.col("vector")), 6).alias("norm"))
+    """Default encoder of chunks, its slots that aren't 0."""
+    vectors = chunk_vectors(spark, root).select(F.col("item_id").alias("chunk_no"), F.posexplode("vector").alias("slot", "x"))
+    return vectors.where("x <> 0").select("chunk_no", F.col("slot").cast("bigint").alias("slot"), F.round("x", 6).alias("x"))
 
 
 def _hybrid(spark: SparkSession, root: str, k: int = 40) -> DataFrame:
-    chunks, asked = table(spark, root, "chunks"), questions(spark, root)
-    lexical = cut(lexical_top(spark, root, k))
-    vectors = cut(index.hashed_vectors(chunks, "chunk_no", index.indexed_text()).withColumnRenamed("chunk_no", "item_id"))
-    question_vectors = cut(index.hashed_vectors(asked, "query_id", F.col("query")))
-    dense = retrieval.dense_topk(question_vectors, vectors, k).select("query_id", F.col("item_id").alias("chunk_no"), "score")
-    return retrieval.fuse(lexical, dense, "chunk_no")
+    asked = questions(spark, root)
+    question_vectors = stored(index.hashed_vectors(asked, "query_id", F.col("query")))
+    dense = retrieval.dense_topk(question_vectors, chunk_vectors(spark, root), k, digits=6).select("query_id", F.col("item_id").alias("chunk_no"), "score")
+    return retrieval.fuse(lexical_top(spark, root, k), dense, "chunk_no")
 
 
-@query()
+@query(HYBRID + """ select query_id, chunk_no, round(lexical_score, 6) as lexical_score, round(dense_score, 6) as dense_score, score, rank from fused where rank <= 20""")
 def ret_05_hybrid_fusion(spark: SparkSession, root: str) -> DataFrame:
     """Lexical and vector lists, each max-normalised, in one outer union; the best 20."""
     fused = _hybrid(spark, root).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(fused, 20, ["query_id"], [F.desc("score"), F.asc("chunk_no")])
+    best = retrieval.top_k(fused, 20, ["query_id"], [F.desc("score"), F.asc("chunk_no")])
+    return best.select("query_id", "chunk_no", F.round("lexical_score", 6).alias("lexical_score"), F.round("dense_score", 6).alias("dense_score"), "score", "rank")
 
 
 @query(BM25 + """, placed as (select query_id, chunk_no, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, rel_path, start_line, chunk_no) as rank from scores join chunks using (chunk_no))
@@ -269,15 +301,12 @@ def ret_04_repository_filter(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def ret_06_variants(spark: SparkSession, root: str) -> DataFrame:
     """The question and its expansion searched together; of a chunk found twice the better row stays."""
-    chunks, asked = table(spark, root, "chunks"), questions(spark, root)
+    asked = questions(spark, root)
     expanded = asked.withColumn("query", F.concat_ws(" ", "query", retrieval.expanded_query(F.col("query"), MAPPING)))
     both = asked.withColumn("variant", F.lit(0)).unionByName(expanded.withColumn("variant", F.lit(1)))
     both = both.withColumn("query_id", F.col("query_id") * 2 + F.col("variant"))
-    posts = cut(index.postings(chunks, "chunk_no", index.indexed_text()))
-    terms = index.term_statistics(posts, F.lit(chunks.count()))
-    scores = retrieval.bm25_scores(both, posts, terms, index.length_statistics(chunks, index.indexed_text()), "chunk_no")
-    scores = retrieval.top_k(scores, 40, ["query_id"], [F.desc("score"), F.asc("chunk_no")])
-    rows = scores.select(F.floor(F.col("query_id") / 2).alias("query_id"), F.pmod("query_id", F.lit(2)).alias("variant"), "chunk_no", F.round("score", 6).alias("score"))
+    scores = retrieval.top_k(scored(spark, root, both), 40, ["query_id"], [F.desc("score"), F.asc("chunk_no")])
+    rows = scores.select(F.floor(F.col("query_id") / 2).alias("query_id"), F.pmod("query_id", F.lit(2)).alias("variant"), "chunk_no", "score")
     return retrieval.top_k(retrieval.merge_variants(rows, "chunk_no"), 10, ["query_id"], [F.desc("score"), F.asc("chunk_no")])
 
 
@@ -326,9 +355,7 @@ def idx_05_call_edges(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def ret_13_symbol_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    chunks = table(spark, root, "chunks")
-    edges = cut(index.call_edges(chunks, index.definitions(chunks)))
-    return retrieval.symbol_neighbours(lexical_top(spark, root, 10).select("query_id", "chunk_no"), edges, 2)
+    return retrieval.symbol_neighbours(stored(lexical_top(spark, root, 10).select("query_id", "chunk_no")), chunk_calls(spark, root), 2)
 
 
 @query()
@@ -336,9 +363,8 @@ def ret_16_17_evidence_pack(spark: SparkSession, root: str) -> DataFrame:
     """Retrieved chunks, their call and file neighbours, then the pack within the budget."""
     chunks = table(spark, root, "chunks")
     fused = retrieval.top_k(_hybrid(spark, root).withColumn("score", F.round("score", 6)), 12, ["query_id"], [F.desc("score"), F.asc("chunk_no")])
-    fused = cut(fused.select("query_id", "chunk_no", F.col("rank").alias("ord")))
-    edges = index.call_edges(chunks, index.definitions(chunks))
-    graph = retrieval.symbol_neighbours(fused, edges, 1).select("query_id", "chunk_no", F.col("hop").alias("ord"))
+    fused = stored(fused.select("query_id", "chunk_no", F.col("rank").alias("ord")))
+    graph = retrieval.symbol_neighbours(fused, chunk_calls(spark, root), 1).select("query_id", "chunk_no", F.col("hop").alias("ord"))
     near = retrieval.file_neighbours(fused.select("query_id", "chunk_no"), chunks).select("query_id", "chunk_no", F.abs("distance").alias("ord"))
     expanded = retrieval.expand(fused, graph, near)
     sized = expanded.join(chunks.select("chunk_no", F.length("content").alias("chars")), "chunk_no")

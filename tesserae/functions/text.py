@@ -65,9 +65,18 @@ def language(text: Column) -> Column:
     return F.when((n > 0) & (ja / n >= 0.3), "ja").when((solid > 0) & (en / solid >= 0.5), "en").otherwise("other")
 
 
+def compatible(text: Column) -> Column:
+    """NFKC. It has no built-in function, so texts of other than ASCII characters pass through Python in Arrow batches."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def slug(text: Column, fallback: str = "document", most: int = 80) -> Column:
-    """Lower-case file name of ASCII letters, digits, dots, underscores and hyphens."""
-    plain = F.regexp_replace(F.lower(text), "[^a-z0-9._-]+", "-")
+    """Lower-case file name of ASCII letters, digits, dots, underscores and hyphens, of the text's compatibility form (full-width letters count as letters)."""
+    plain = F.regexp_replace(F.lower(compatible(text)), "[^a-z0-9._-]+", "-")
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(plain, "^[-._]+|[-._]+$", ""), 1, most), F.lit("")), F.lit(fallback))
 
 

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.tables import stored
+
 MAX_CHARS, OVERLAP = 2400, 300
 # Section openers of markdown and of articles.
-HEADING = re.compile(r"^(#{1,3})\s+(.*?)\s*#*\s*$")
-ARTICLE = re.compile(r"^(第[0-9０-９一二三四五六七八九十百千〇]+[条節])")
-FENCE = re.compile(r"^(`{3,})")
+HEADING = re.compile(r"^(#{1,3})\s+(.+?)\s*$")
+ARTICLE = re.compile(r"^第[0-9０-９〇一二三四五六七八九十百千]+[条節](?:\s|$)")
+BLANK_LINES = re.compile(r"\n[ \t]*\n+")
 
 
 def char_windows(texts: DataFrame, key: str, text: str, size: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
@@ -78,32 +80,36 @@ def python_chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, int
 
 
 def sections(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Markdown sections with their heading path; fences hide headings, blank bodies are left out."""
-    stack: list[tuple[int, str]] = []
-    fence, body, first = "", [], 1
-    path = ""
-    for n, line in enumerate([*text.splitlines(keepends=True), None], 1):
-        plain = "" if line is None else line.rstrip("\r\n")
-        mark = FENCE.match(plain.lstrip())
-        if line is not None and fence:
-            fence = "" if mark and len(mark.group(1)) >= len(fence) and plain.strip() == mark.group(1) else fence
-            body.append(line)
-            continue
-        heading, article = HEADING.match(plain), ARTICLE.match(plain)
-        if line is None or heading or article:
-            if "".join(body).strip():
-                yield first, n - 1, "".join(body), path
-            if heading:
-                level = len(heading.group(1))
-                stack = [x for x in stack if x[0] < level] + [(level, heading.group(2))]
-                path, body, first = " > ".join(t for _, t in stack), [], n + 1
-            elif article:
-                path = " > ".join([*(t for _, t in stack), article.group(1)])
-                body, first = [line], n
+    """Markdown sections ``(first line, last line, body, heading path)``; blank bodies are left out.
+
+    Headings of level 1 to 3 open a section and change the path; an article's line opens one below the same path and belongs to its
+    body. Lines within a fence of backticks open nothing; a fence ends with a run at least as long as the one it began with.
+    """
+    path: list[tuple[int, str]] = []
+    body, first, fence = [], 1, 0
+    lines = text.splitlines(keepends=True)
+
+    def closed(last: int) -> Iterator[tuple[int, int, str, str]]:
+        whole = "".join(body)
+        if whole.strip():
+            yield first, last, whole, " > ".join(title for _, title in path if title)
+
+    for n, line in enumerate(lines, 1):
+        plain = line.rstrip("\r\n")
+        ticks = len(plain) - len(plain.lstrip("`"))
+        if ticks >= 3 and (not fence or ticks >= fence):
+            fence = 0 if fence else ticks
+        elif not fence and (heading := HEADING.match(plain)):
+            yield from closed(n - 1)
+            level = len(heading[1])
+            path = [*(x for x in path if x[0] < level), (level, heading[2].strip())]
+            body, first = [], n + 1
             continue
-        if mark:
-            fence = mark.group(1)
+        elif not fence and ticks < 3 and ARTICLE.match(plain):
+            yield from closed(n - 1)
+            body, first = [], n
         body.append(line)
+    yield from closed(len(lines))
 
 
 def paragraphs(body: str, size: int, overlap: int) -> list[str]:
@@ -111,7 +117,7 @@ def paragraphs(body: str, size: int, overlap: int) -> list[str]:
     if len(body) <= size:
         return [body]
     out, held = [], ""
-    for p in re.split(r"\n\s*\n", body):
+    for p in filter(str.strip, BLANK_LINES.split(body)):
         if len(p) > size:
             out += [held] if held else []
             held, at = "", 0
@@ -180,7 +186,8 @@ def packed_lengths(lengths: DataFrame, key: str, n: str, context: int, buckets:
     sees more than its range. Result: ``key, context_no, from_token, to_token``.
     """
     ranged = lengths.where(F.col(n) > 0).select(key, F.col(n).cast("bigint").alias("n"))
-    ranged = ranged.repartitionByRange(buckets, key).withColumn("range", F.spark_partition_id())
+    # Stored once: a range exchange samples its bounds, so computing it twice could cut the ranges differently.
+    ranged = stored(ranged.repartitionByRange(buckets, key).withColumn("range", F.spark_partition_id()))
     sums = ranged.groupBy("range").agg(F.sum("n").alias("size"))
     sums = sums.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("size").over(Window.partitionBy(F.lit(1))).alias("total"))
     within = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

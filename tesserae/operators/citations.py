@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,34 +46,32 @@ def contexts(answer: Column) -> Column:
     return F.coalesce(F.flatten(pairs), F.array().cast("array<struct<citation_index:int,context:string>>"))
 
 
-def within_budget(text: str | None, order: list[int] | None) -> str | None:
-    """Markers rewritten from left to right within the ranked indices allowed.
-
-    An allowed index stays, another becomes the next allowed one not used yet, or goes; spaces before a closing mark go too. The
-    rewriting of each marker depends on those before it, so it is a fold over the answer.
-    """
-    if text is None:
-        return None
-    allowed = [int(i) for i in order] if order is not None else []
-    used: set[int] = set()
-
-    def turn(m: re.Match) -> str:
-        index = int(m.group(1))
-        if index not in allowed:
-            index = next((i for i in allowed if i not in used), 0)
-        used.add(index)
-        return f"[C:{index}]" if index else ""
+def by_frequency(answer: Column) -> Column:
+    """Distinct indices of an answer's markers, the most frequent first, then the lowest."""
+    every = F.transform(F.regexp_extract_all(answer, F.lit(MARKER), 1), lambda d: d.cast("int"))
+    counted = F.transform(F.array_distinct(every), lambda i: F.struct((-F.size(F.filter(every, lambda x: x == i))).alias("n"), i.alias("i")))
+    return F.transform(F.array_sort(counted), lambda c: c["i"])
 
-    return re.sub(r"\s+([。.,、])", r"\1", re.sub(MARKER, turn, text))
 
+def budgeted(answer: Column, allowed: Column) -> Column:
+    """The answer with markers of ``allowed`` indices only, rewritten from left to right.
 
-def budgeted(answer: Column, ranked: Column) -> Column:
-    """``within_budget`` on columns."""
-
-    def run(texts: pd.Series, orders: pd.Series) -> pd.Series:
-        return pd.Series([within_budget(t, o) for t, o in zip(texts, orders, strict=True)])
-
-    return F.pandas_udf(run, "string")(answer, ranked)
+    An allowed index stays, another becomes the next allowed one not used yet, or goes; spaces before a closing mark go too. A marker's
+    rewriting depends on those before it, so it is a fold over the answer's markers. Null answers stay null.
+    """
+    parts = F.split(answer, MARKER, -1)
+    marks = F.transform(F.regexp_extract_all(answer, F.lit(MARKER), 1), lambda d, n: F.struct(d.cast("int").alias("i"), F.get(F.regexp_extract_all(answer, F.lit(MARKER), 0), n).alias("own"), F.get(parts, n + 1).alias("text")))
+
+    def step(state: Column, mark: Column) -> Column:
+        index = mark["i"]
+        stays = F.array_contains(allowed, index)
+        other = F.get(F.filter(allowed, lambda a: ~F.array_contains(state["used"], a) & (a != index)), 0)
+        used = F.when(stays, index).otherwise(other)
+        written = F.when(stays, mark["own"]).when(other.isNotNull(), F.concat(F.lit("[C:"), other.cast("string"), F.lit("]"))).otherwise("")
+        return F.struct(F.concat(state["out"], written, mark["text"]).alias("out"), F.when(used.isNull(), state["used"]).otherwise(F.array_append(state["used"], used)).alias("used"))
+
+    start = F.struct(F.get(parts, 0).alias("out"), F.array().cast("array<int>").alias("used"))
+    return F.regexp_replace(F.aggregate(marks, start, step, lambda s: s["out"]), r"\s+([。.,、])", "$1")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -64,41 +64,71 @@ def carryover(turns: DataFrame, recent: int = 2) -> DataFrame:
 
 
 def topic_switch(turns: DataFrame, recent: int = 2) -> DataFrame:
-    """Add ``switch``: no marker, anchors of its own, and hardly any overlap with the last questions."""
+    """Add ``switch``: neither marker nor comparison, anchors of its own, and hardly any overlap with any of the last questions."""
     rows = carryover(turns, recent).withColumn("anchors", topic_anchors(F.col("question")))
-    joined = F.array_distinct(F.flatten(F.collect_list("features").over(before(recent))))
-    rows = rows.withColumn("past_features", joined)
-    fresh = F.forall("anchors", lambda a: overlap(text_features(a), F.col("past_features")) < 0.08)
-    return rows.withColumn("switch", ~F.col("marked") & (F.size("anchors") > 0) & (F.col("similarity") < 0.25) & fresh & (F.col("n_past") > 0))
+    rows = rows.withColumn("past", F.collect_list("features").over(before(recent)))
+    fresh = F.forall("anchors", lambda a: F.forall("past", lambda p: overlap(text_features(a), p) < 0.08))
+    plain = ~F.col("marked") & ~comparison(F.col("question"))
+    return rows.withColumn("switch", plain & (F.size("anchors") > 0) & (F.col("similarity") < 0.25) & fresh & (F.col("n_past") > 0)).drop("past")
 
 
 SEGMENTS = "session_id string, turn_id int, segment int, carryover string"
+#: A turn of up to this many features, or of this overlap with its segment's last questions, stays in the segment.
+SHORT_TURN, MEMORY_OVERLAP = 24, 0.06
+
+
+def turn_signals(turns: DataFrame) -> DataFrame:
+    """What the segment fold reads of a turn: ``session_id, turn_id, features, marked, anchors``; features are null without a question, anchors are features of each anchor."""
+    q = F.col("question")
+    anchors = F.when(comparison(q), F.array().cast("array<array<string>>")).otherwise(F.transform(topic_anchors(q), text_features))
+    return turns.select("session_id", "turn_id", F.when(F.length(q) > 0, text_features(q)).alias("features"), F.coalesce(follow_up(q), F.lit(False)).alias("marked"), F.coalesce(anchors, F.array().cast("array<array<string>>")).alias("anchors"))
+
+
+def shared_part(features: set[str], others: list[set[str]]) -> float:
+    """The largest part of ``features`` that one of the others has."""
+    return max((len(features & o) / len(features) for o in others if features and o), default=0.0)
 
 
 class Segmenter:
-    """The fold over a session's turns: a turn that stays weak against the questions of its segment starts the next.
+    """The fold over a session's turns: a turn that stays weak starts the next segment.
 
-    Which questions count as recent depends on the segments found so far, so turns are taken in order. A marked turn, or one of
-    few features with some overlap with the segment, stays in it. Of a segment only the last questions and the set of its features are kept.
+    A turn is weak without a marker and with little overlap with the session's last questions. Unless it names a topic of its own, it
+    stays in the segment all the same if it is short or overlaps with the segment's last questions. Which questions are the segment's depends on the
+    segments found so far, so turns are taken in order; only the last questions of the session and of the segment are kept.
     """
 
-    def __init__(self, recent: int = 2, segment: int = 0, window: list[set[str]] | None = None, memory: set[str] | None = None) -> None:
-        self.recent, self.segment, self.window, self.memory = recent, segment, window or [], memory or set()
+    def __init__(self, recent: int = 2, segment: int = 0, seen: bool = False, window: list[set[str]] | None = None, own: list[set[str]] | None = None) -> None:
+        self.recent, self.segment, self.seen, self.window, self.own = recent, segment, seen, window or [], own or []
+
+    def take(self, features: set[str] | None, marked: bool, anchors: list[set[str]]) -> tuple[int, str]:
+        """The turn's segment and how it carries over from it."""
+        told = features or set()
+
+        def switches(past: list[set[str]]) -> bool:
+            return bool(past and anchors) and not marked and shared_part(told, past) < 0.25 and all(shared_part(a, past) < 0.08 for a in anchors)
+
+        def mode(past: list[set[str]]) -> str:
+            best = shared_part(told, past)
+            if marked:
+                return "strong" if best >= 0.08 else "mixed"
+            return "mixed" if best >= 0.18 else "weak"
+
+        def remembered() -> bool:
+            past = self.own or self.window
+            near = marked or len(told) <= SHORT_TURN or shared_part(told, past) >= MEMORY_OVERLAP
+            return bool(past) and not switches(self.window) and not switches(past) and near
 
-    def take(self, features: set[str], marked: bool) -> tuple[int, str]:
-        """The turn's segment and how it carries over."""
-        best = max((len(features & p) / len(features) for p in self.window if features and p), default=0.0)
-        if not self.window:
+        if not self.seen:
             kind = "independent"
-        elif marked:
-            kind = "strong" if best >= 0.08 else "mixed"
+        elif mode(self.window) == "weak" and not remembered():
+            kind = "weak"
+            self.segment, self.own = self.segment + 1, []
         else:
-            kind = "mixed" if best >= 0.18 else "weak"
-        rescued = bool(features) and len(features & self.memory) / len(features) >= 0.06 and (marked or len(features) <= 24)
-        if kind == "weak" and not rescued:
-            self.segment, self.window, self.memory = self.segment + 1, [], set()
-        self.window = [*self.window, features][-self.recent :]
-        self.memory |= features
+            kind = mode(self.own)
+            kind = "mixed" if kind == "weak" and remembered() else kind
+        self.seen = True
+        if features is not None:
+            self.window, self.own = [*self.window, told][-self.recent :], [*self.own, told][-self.recent :]
         return self.segment, kind
 
 
@@ -107,19 +137,18 @@ def segments(turns: DataFrame, recent: int = 2) -> DataFrame:
 
     Turns are sorted by session within partitions and folded batch by batch, so that even a session of very many turns is never held as a whole.
     """
-    rows = turns.select("session_id", "turn_id", text_features(F.col("question")).alias("features"), follow_up(F.col("question")).alias("marked"))
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session, state = object(), Segmenter(recent)
         for pdf in frames:
             out = []
-            for key, turn, features, marked in pdf.itertuples(index=False):
+            for key, turn, features, marked, anchors in pdf.itertuples(index=False):
                 if key != session:
                     session, state = key, Segmenter(recent)
-                out.append((key, turn, *state.take(set(features), bool(marked))))
+                out.append((key, turn, *state.take(None if features is None else set(features), bool(marked), [set(a) for a in anchors])))
             yield pd.DataFrame(out, columns=["session_id", "turn_id", "segment", "carryover"])
 
-    return rows.repartition("session_id").sortWithinPartitions("session_id", "turn_id").mapInPandas(fold, SEGMENTS)
+    return turn_signals(turns).repartition("session_id").sortWithinPartitions("session_id", "turn_id").mapInPandas(fold, SEGMENTS)
 
 
 def drift(turns: DataFrame) -> DataFrame:

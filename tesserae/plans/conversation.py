@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import REFUSALS
 from tesserae.operators import citations, sessions
 from tesserae.operators.chunking import chunk_files
+from tesserae.plans.fragments import features
 from tesserae.sources import files as src
-from tesserae.sources.tables import table
+from tesserae.sources.tables import shared_folder, table
 from tesserae.streaming.events import streamed_segments, windowed_rates
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 TURNS = "turns as (select session_id, t.turn_id as turn_id, min(t.question) as question, min(t.reference_answer) as answer from (select session_id, unnest(turns) as t from eval_sessions) group by all)"
 
+SIGNALS = f"""{TURNS}, g as (select session_id, turn_id, question, {features('question')} as f, {' or '.join(f"contains(lower(question), '{w}')" for w in sessions.FOLLOW_UP)} as marked, {' or '.join(f"contains(lower(question), '{w}')" for w in sessions.COMPARISON)} as compares,
+list_distinct(list_filter(list_transform(regexp_extract_all(question, '{sessions.ANCHOR}', 1), lambda x: regexp_replace(x, '[ \\t\\n]', '', 'g')), lambda x: length(x) >= 6 and {' and '.join(f"not contains(x, '{n}')" for n in sessions.ANCHOR_NOISE)})) as anchors from turns),
+w as (select *, lag(f, 1) over o as p1, lag(f, 2) over o as p2, row_number() over o as rn from g window o as (partition by session_id order by turn_id)),
+o as (select *, case when len(f) > 0 and len(p1) > 0 then len(list_intersect(f, p1)) / len(f) else 0 end as s1, case when len(f) > 0 and len(p2) > 0 then len(list_intersect(f, p2)) / len(f) else 0 end as s2, list_transform(anchors, lambda x: {features('x')}) as af from w),
+base as (select *, greatest(s1, s2) as similarity, not marked and not compares and len(anchors) > 0 as named, list_bool_and(list_transform(af, lambda x: coalesce(len(list_intersect(x, p1)) / len(x), 0) < 0.08)) as fresh1, list_bool_and(list_transform(af, lambda x: coalesce(len(list_intersect(x, p2)) / len(x), 0) < 0.08)) as fresh2 from o),
+s as (select *, coalesce(rn > 1 and named and s1 < 0.25 and fresh1, false) as switch1, coalesce(rn > 1 and named and similarity < 0.25 and fresh1 and (fresh2 or p2 is null), false) as switch2 from base)"""
+
 
 def query(sql: str | None = None):
     def register(f):
@@ -54,12 +64,18 @@ def ses_04_markers(spark: SparkSession, root: str) -> DataFrame:
     return eval_turns(spark, root).select("session_id", "turn_id", sessions.follow_up(q).alias("follow_up"), sessions.comparison(q).alias("comparison"))
 
 
-@query()
+@query(f"""with {SIGNALS} select session_id, turn_id, case when rn = 1 then 'independent' when marked and similarity >= 0.08 then 'strong' when marked or similarity >= 0.18 then 'mixed' else 'weak' end as carryover, round(similarity, 6) as similarity, len(anchors) as anchors, switch2 as switch from s""")
 def ses_05_06_topic_switch(spark: SparkSession, root: str) -> DataFrame:
     return sessions.topic_switch(eval_turns(spark, root)).select("session_id", "turn_id", "carryover", F.round("similarity", 6).alias("similarity"), F.size("anchors").alias("anchors"), "switch")
 
 
-@query()
+@query(f"""with recursive {SIGNALS}, fold as (
+select session_id, turn_id, rn, 0 as segment, 1 as n, 'independent' as carryover from s where rn = 1 union all
+select session_id, turn_id, rn, segment + starts::int, case when starts then 1 else n + 1 end, case when starts then 'weak' when marked and own >= 0.08 then 'strong' when marked or own >= 0.18 or held then 'mixed' else 'weak' end from (
+  select *, not marked and similarity < 0.18 and not held as starts from (
+    select *, not switch2 and not switch_own and (marked or len(f) <= 24 or own >= 0.06) as held from (
+      select s.*, fold.segment, fold.n, case when fold.n > 1 then s.similarity else s.s1 end as own, case when fold.n > 1 then s.switch2 else s.switch1 end as switch_own from fold join s on s.session_id = fold.session_id and s.rn = fold.rn + 1))))
+select session_id, turn_id, segment, carryover from fold""")
 def ses_10_segments(spark: SparkSession, root: str) -> DataFrame:
     """Topic segments, a fold over each session."""
     return sessions.segments(eval_turns(spark, root))
@@ -68,12 +84,7 @@ def ses_10_segments(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def ses_10_segments_streamed(spark: SparkSession, root: str) -> DataFrame:
     """The same segments from a stream of the turns, with state per session."""
-    from tempfile import mkdtemp
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or mkdtemp(prefix="spark-stream-")
-    from uuid import uuid4
-
-    path = f"{base}/{uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid4()}"
     eval_turns(spark, root).write.parquet(f"{path}/turns")
     stream = spark.readStream.schema("session_id string, turn_id int, question string, answer string").parquet(f"{path}/turns")
     running = streamed_segments(stream).writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
@@ -144,10 +155,9 @@ def cit_05_contexts(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def cit_07_budgeted(spark: SparkSession, root: str) -> DataFrame:
-    """Answers rewritten to at most three markers, the most frequent ones."""
+    """Answers rewritten to at most two chunks cited, the most frequent ones; a fold over markers, tested against a plain version."""
     r = table(spark, root, "query_results").where("answer is not null")
-    ranked = F.slice(citations.cited_indices(F.col("answer")), 1, 3)
-    return r.select("result_id", citations.budgeted(F.col("answer"), ranked).alias("answer"))
+    return r.select("result_id", citations.budgeted(F.col("answer"), F.slice(citations.by_frequency(F.col("answer")), 1, 2)).alias("answer"))
 
 
 @query("""select session_id, c as chunk_id, count(*) as turns from (select session_id, unnest(turn.reference_chunk_ids) as c from (select session_id, unnest(turns) as turn from (select distinct session_id, turns from eval_sessions))) group by all having count(*) > 1""")
@@ -232,3 +242,6 @@ def ses_01_cumulative_citations(spark: SparkSession, root: str) -> DataFrame:
     """Distinct chunks cited so far in each session of each run, over all results."""
     r = table(spark, root, "query_results").where("session_id is not null and turn_id is not null")
     return sessions.cumulative_citations(r.select("run_label", "session_id", "turn_id", F.col("cited_chunk_ids").alias("cited")))
+
+
+SQL["ses_10_segments_streamed"] = SQL["ses_10_segments"]

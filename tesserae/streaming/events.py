@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tesserae.functions.text import text_features
-from tesserae.operators.sessions import SEGMENTS, Segmenter, follow_up
+from tesserae.operators.sessions import SEGMENTS, Segmenter, turn_signals
 
 
 def windowed_rates(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -20,19 +19,19 @@ def windowed_rates(events: DataFrame, window: str = "1 hour", late: str = "2 hou
     return out.select(F.unix_seconds(F.col("window.start").cast("timestamp")).alias("window_start"), "events", "errors", F.round("value", 4).alias("value"))
 
 
-STATE = "segment int, window array<array<string>>, memory array<string>"
+STATE = "segment int, window array<array<string>>, own array<array<string>>"
 
 
 def streamed_segments(turns: DataFrame, recent: int = 2) -> DataFrame:
-    """Topic segments of a stream of turns that comes in order per session; the state is the fold's own, the segment's features and last questions."""
-    rows = turns.select("session_id", "turn_id", text_features(F.col("question")).alias("features"), follow_up(F.col("question")).alias("marked"))
+    """Topic segments of a stream of turns that comes in order per session; the state is the fold's own, the last questions of session and segment."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        segment, window, memory = state.get if state.exists else (0, [], [])
-        fold = Segmenter(recent, segment, [set(w) for w in window], set(memory))
+        segment, window, own = state.get if state.exists else (0, [], [])
+        fold = Segmenter(recent, segment, state.exists, [set(w) for w in window], [set(w) for w in own])
         pdf = pd.concat(list(frames)).sort_values("turn_id", kind="stable")
-        out = [(key[0], int(t), *fold.take(set(f), bool(m))) for t, f, m in zip(pdf["turn_id"], pdf["features"], pdf["marked"], strict=True)]
-        state.update((fold.segment, [sorted(w) for w in fold.window], sorted(fold.memory)))
+        rows = zip(pdf["turn_id"], pdf["features"], pdf["marked"], pdf["anchors"], strict=True)
+        out = [(key[0], int(t), *fold.take(None if f is None else set(f), bool(m), [set(a) for a in anchors])) for t, f, m, anchors in rows]
+        state.update((fold.segment, [sorted(w) for w in fold.window], [sorted(w) for w in fold.own]))
         yield pd.DataFrame(out, columns=["session_id", "turn_id", "segment", "carryover"])
 
-    return rows.groupBy("session_id").applyInPandasWithState(step, SEGMENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return turn_signals(turns).groupBy("session_id").applyInPandasWithState(step, SEGMENTS, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import unicodedata
 
 import pytest
@@ -141,8 +142,17 @@ def test_citations(spark):
     a = F.col("x")
     assert column(spark, ["a【C：02】b［ C : 3 ］", "none", None], citations.cited_indices) == [[2, 3], [], []]
     assert column(spark, ["a【C：02】"], citations.normalised_markers) == ["a[C:2]"]
-    assert citations.within_budget("x [C:9]。y [C:1] z [C:7]", [1, 2]) == "x [C:1]。y [C:1] z [C:2]"
-    assert citations.within_budget("x [C:9] 。", []) == "x。" and citations.within_budget(None, [1]) is None
+    rng = random.Random(5)
+    cases = [("x [C:9]。y [C:1] z [C:7]", [1, 2], "x [C:1]。y [C:1] z [C:2]"), ("x [C:9] 。", [], "x。"), (None, [1], None), ("", [1], ""), ("no marks", [1], "no marks"), ("a [C:3] b [C:3] c [C: 2 ]", [2], "a [C:2] b  c [C: 2 ]")]
+    for _ in range(40):
+        text = " ".join(rng.choice(["word", "。", f"[C:{rng.randint(1, 6)}]", "[Ｃ:1]"]) for _ in range(12))
+        allowed = rng.sample(range(1, 6), rng.randint(0, 4))
+        cases.append((text, allowed, within_budget(text, allowed)))
+    rows = spark.createDataFrame([(i, t, a) for i, (t, a, _) in enumerate(cases)], "i int, t string, a array<int>")
+    got = {r.i: r.out for r in rows.select("i", citations.budgeted(F.col("t"), F.col("a")).alias("out")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, _, want in cases]
+    few = spark.createDataFrame([("[C:3] [C:1] [C:3] [C:2] [C:2] [C:10]",), ("none",)], "t string").select(citations.by_frequency(F.col("t")).alias("o")).collect()
+    assert [r.o for r in few] == [[2, 3, 1, 10], []]
     answers = spark.createDataFrame([(1, "[C:1][C:5]"), (2, None), (3, "no")], "answer_id int, answer string")
     packs = spark.createDataFrame([(1, 1, "k")], "answer_id int, citation_index int, chunk string")
     got = {r.answer_id: (r.cited, r.wrong, r.no_citation) for r in citations.resolve(answers, packs).collect()}
@@ -151,6 +161,37 @@ def test_citations(spark):
     assert a is not None
 
 
+def within_budget(text, allowed):
+    """The budget of markers, plainly."""
+    used = set()
+
+    def turn(m):
+        index = int(m.group(1))
+        if index in allowed:
+            used.add(index)
+            return m.group()
+        other = next((a for a in allowed if a not in used and a != index), None)
+        used.add(other)
+        return f"[C:{other}]" if other else ""
+
+    return re.sub(r"\s+([。.,、])", r"\1", re.sub(citations.MARKER, turn, text))
+
+
+MARKDOWN = "intro\n# One #\nbody\n#\n# \n## Two\n第1条 目的\ntext\n第2条の規定による\n  第3条\n````\n# no\n```\n# no\n````\n~~~\n#### four\n第四節\nend\n"
+
+
+def test_markdown_sections():
+    got = [(a, b, path) for a, b, _, path in chunking.sections(MARKDOWN)]
+    assert got == [(1, 1, ""), (3, 4, "One #"), (7, 17, "One # > Two"), (18, 19, "One # > Two")]
+    assert list(chunking.sections("")) == [] and [x[3] for x in chunking.sections("# A\n### C\nx\n## B\ny\n")] == ["A > C", "A > B"]
+    assert chunking.paragraphs("a" * 6 + "\n \n\n" + "b" * 5, 8, 2) == ["a" * 6, "b" * 5]
+    assert chunking.paragraphs("x" * 20, 8, 2) == ["x" * 8, "x" * 8, "x" * 8]
+
+
+def test_full_width_titles_have_slugs(spark):
+    assert column(spark, ["Ｈｅｌｌｏ　Ｗｏｒｌｄ１", "ﬁle①", "第３条"], T.slug) == ["hello-world1", "file1", "3"]
+
+
 def test_segments_streamed_as_batch(spark, tmp_path):
     questions = ["How does `alpha_index` work?", "And that?", "What is the penalty of gamma rules?", "用語集の更新について教えてください", "それは何ですか"]
     turns = spark.createDataFrame([(s, i, q) for s in ("a", "b") for i, q in enumerate(questions)], "session_id string, turn_id int, question string")

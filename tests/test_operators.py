@@ -182,7 +182,7 @@ MARKDOWN = "intro\n# One #\nbody\n#\n# \n## Two\n第1条 目的\ntext\n第2条
 
 def test_markdown_sections():
     got = [(a, b, path) for a, b, _, path in chunking.sections(MARKDOWN)]
-    assert got == [(1, 1, ""), (3, 4, "One #"), (7, 17, "One # > Two"), (18, 19, "One # > Two")]
+    assert got == [(1, 1, ""), (3, 5, "One #"), (7, 17, "One # > Two"), (18, 19, "One # > Two")]
     assert list(chunking.sections("")) == [] and [x[3] for x in chunking.sections("# A\n### C\nx\n## B\ny\n")] == ["A > C", "A > B"]
     assert chunking.paragraphs("a" * 6 + "\n \n\n" + "b" * 5, 8, 2) == ["a" * 6, "b" * 5]
     assert chunking.paragraphs("x" * 20, 8, 2) == ["x" * 8, "x" * 8, "x" * 8]

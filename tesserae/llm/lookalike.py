@@ -126,25 +126,45 @@ def canonical(df: DataFrame, text: str = "text", keep_text: bool = True) -> Data
     return passed.mapInArrow(run, schema)
 
 
-def same_look_pairs(texts: DataFrame, salts: int = 8) -> DataFrame:
+#: Rows of a class that one task pairs with the whole class.
+SHARE_ROWS = 10_000
+
+
+def forms(texts: DataFrame) -> DataFrame:
+    """``field, scope, canon_key, key, stored_key`` of every visible text with a key, stored for the passes that follow."""
+    keyed = canonical(texts.select("field", F.coalesce("scope", F.lit("")).alias("scope"), "key", "text"), keep_text=False)
+    return cut(keyed.where("visible and key is not null").drop("visible"))
+
+
+def same_look_pairs(texts: DataFrame, share_rows: int = SHARE_ROWS) -> DataFrame:
     """Pairs ``(field, key_a, key_b)``, ``key_a < key_b``, that differ as stored and look the same.
 
     ``texts`` has ``field``, ``scope`` (pairs stay within one), ``key`` and ``text``. Exact copies are
-    never paired with each other: forms that have only one stored spelling are left out before the join,
-    and the rest is joined in ``salts`` shares of each form, so that a form held by a third of all rows is
-    spread. Null and invisible texts have no pairs; a repeated row gives its pairs once.
+    never paired with each other: forms that have only one stored spelling are left out before the join.
+    A class is counted first and joined in as many shares as it has ``share_rows``, so that one held by a third of all rows
+    is spread in proportion and the others aren't copied. Null and invisible texts have no pairs; a repeated row gives its pairs once.
     """
-    keyed = canonical(texts.select("field", F.coalesce("scope", F.lit("")).alias("scope"), "key", "text"), keep_text=False)
-    keyed = cut(keyed.where("visible and key is not null").drop("visible"))
+    keyed = forms(texts)
     group = ["field", "scope", "canon_key"]
-    mixed = keyed.groupBy(*group).agg(F.min("stored_key").alias("lo"), F.max("stored_key").alias("hi")).where("lo <> hi").select(*group)
-    rows = keyed.join(mixed, group, "left_semi").dropDuplicates([*group, "key", "stored_key"])
-    left = rows.select(*group, F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"), F.col("key").alias("key_a"), F.col("stored_key").alias("stored_a"))
-    right = rows.select(*group, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("key").alias("key_b"), F.col("stored_key").alias("stored_b"))
+    mixed = keyed.groupBy(*group).agg(F.min("stored_key").alias("lo"), F.max("stored_key").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = mixed.select(*group, F.ceil(F.col("n") / share_rows).cast("int").alias("shares"))
+    rows = keyed.join(mixed, group).dropDuplicates([*group, "key", "stored_key"])
+    left = rows.select(*group, F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("salt"), F.col("key").alias("key_a"), F.col("stored_key").alias("stored_a"))
+    right = rows.select(*group, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.col("key").alias("key_b"), F.col("stored_key").alias("stored_b"))
     pairs = left.join(right, [*group, "salt"]).where("key_a < key_b and stored_a <> stored_b")
     return pairs.select("field", "key_a", "key_b")
 
 
+def same_look_classes(texts: DataFrame) -> DataFrame:
+    """Classes of texts that look the same and are stored in several spellings: ``field, scope, canon_key, texts, spellings, first_key``.
+
+    One row per class, however many pairs it stands for, and all of it is combined on the map side first.
+    """
+    spelled = forms(texts).groupBy("field", "scope", "canon_key", "stored_key").agg(F.countDistinct("key").alias("n"), F.min("key").alias("first"))
+    classes = spelled.groupBy("field", "scope", "canon_key").agg(F.sum("n").alias("texts"), F.count("*").alias("spellings"), F.min("first").alias("first_key"))
+    return classes.where("spellings > 1")
+
+
 def text_fields(query_results: DataFrame, chunks: DataFrame) -> DataFrame:
     """The three fields of the problem as rows ``(field, scope, key, text)``."""
     answers = query_results.select(F.lit("answer").alias("field"), F.lit("").alias("scope"), F.col("result_id").alias("key"), F.col("answer").alias("text"))

@@ -323,25 +323,24 @@ def copies(question: str, answer: str) -> bool:
     return bool(q) and (q in rest and len(rest.replace(q, "")) <= 2 or len(rest) > 0.9 * len(q) and rest in q)
 
 
-def question_pairs(eval_sessions: DataFrame, query_results: DataFrame, salts: int = 8) -> DataFrame:
+def question_pairs(eval_sessions: DataFrame, query_results: DataFrame) -> DataFrame:
     """Pairs ``origin, session_id, turn_id, result_id, question, answer``.
 
     A turn stored twice counts once (the lower question, then answer, in text order). Turns without a
-    question and results without a turn are no pairs. One session may hold a third of the results: its questions
-    are copied ``salts`` times and the results spread over the copies.
+    question and results without a turn are no pairs. A turn's question is one row of the join, so where one session holds a
+    third of the results, adaptive execution splits those among tasks by their size.
     """
     turns = eval_sessions.where("session_id is not null").select("session_id", F.explode("turns").alias("t")).where("t.turn_id is not null and t.question is not null")
     turns = turns.select("session_id", F.col("t.turn_id").alias("turn_id"), F.struct(F.col("t.question").alias("question"), F.col("t.reference_answer").alias("answer")).alias("pair"))
     turns = turns.groupBy("session_id", "turn_id").agg(F.min("pair").alias("pair")).select("session_id", "turn_id", "pair.question", "pair.answer")
     own = turns.select(F.lit("eval").alias("origin"), "session_id", "turn_id", F.lit(0).cast("bigint").alias("result_id"), "question", "answer")
-    asked = turns.select("session_id", "turn_id", "question", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    given = query_results.select("session_id", "turn_id", "result_id", "answer", F.pmod(F.xxhash64("result_id"), F.lit(salts)).cast("int").alias("salt"))
-    results = given.join(asked, ["session_id", "turn_id", "salt"])
+    given = query_results.select("session_id", "turn_id", "result_id", "answer")
+    results = given.join(turns.select("session_id", "turn_id", "question"), ["session_id", "turn_id"])
     return own.unionByName(results.select(F.lit("result").alias("origin"), "session_id", "turn_id", "result_id", "question", "answer"))
 
 
 def labelled(pairs: DataFrame, most: int = FIT_PAIRS) -> DataFrame:
-    """``question, answer, tags`` of the ``most`` pairs of smallest hash, every fourth of those without a defect; all that the field is fitted on."""
+    """``question, answer, h, tags`` of the ``most`` pairs of smallest hash, every fourth of those without a defect; all that the field is fitted on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,12 +350,12 @@ def labelled(pairs: DataFrame, most: int = FIT_PAIRS) -> DataFrame:
     sample = pairs.where("answer is not null").select("question", "answer", F.xxhash64("origin", "session_id", "turn_id", "result_id").alias("h"))
     sample = sample.orderBy("h", "question", "answer").limit(most).repartition(16, "h")
     told = sample.mapInArrow(run, "question string, answer string, h bigint, tags array<int>").where("size(tags) > 0")
-    return told.where(F.exists("tags", lambda t: t > 0) | (F.pmod("h", F.lit(4)) == 0)).orderBy("h", "question", "answer").select("question", "answer", "tags")
+    return told.where(F.exists("tags", lambda t: t > 0) | (F.pmod("h", F.lit(4)) == 0)).select("question", "answer", "h", "tags")
 
 
 def fit(pairs: DataFrame, most: int = FIT_PAIRS) -> Model:
     """Fit the field on the labelled sample; the driver sees no other pairs. Features seen once are left out."""
-    rows = [(r.question, r.answer, list(r.tags)) for r in labelled(pairs, most).collect()]
+    rows = [(r.question, r.answer, list(r.tags)) for r in sorted(labelled(pairs, most).collect(), key=lambda r: (r.h, r.question, r.answer))]
     known = [(analyse(q, a)[2], tags) for q, a, tags in examples(rows) if tags]
     seen = Counter(f for names, _ in known for clause in names for f in clause)
     vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}

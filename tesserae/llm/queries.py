@@ -80,6 +80,11 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.same_look_pairs(lookalike.text_fields(table(spark, root, "query_results"), table(spark, root, "chunks")))
 
 
+def p6_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Classes of texts that look the same, with a representative each."""
+    return lookalike.same_look_classes(lookalike.text_fields(table(spark, root, "query_results"), table(spark, root, "chunks")))
+
+
 def p6_canonical(spark: SparkSession, root: str) -> DataFrame:
     """The consistent form of every text of the three fields."""
     texts = lookalike.text_fields(table(spark, root, "query_results"), table(spark, root, "chunks"))
@@ -137,7 +142,7 @@ def p9_profile(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_chunks, p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p5_found, p5_rates, p6_found, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_levels, p9_profile)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_report, p2_chunks, p3_found, p3_messages, p3_dropped, p4_percentiles, p4_repo_rollup, p5_found, p5_rates, p6_found, p6_classes, p6_canonical, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_levels, p9_profile)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,6 +26,14 @@ o as (select *, case when len(f) > 0 and len(p1) > 0 then len(list_intersect(f,
 base as (select *, greatest(s1, s2) as similarity, not marked and not compares and len(anchors) > 0 as named, list_bool_and(list_transform(af, lambda x: coalesce(len(list_intersect(x, p1)) / len(x), 0) < 0.08)) as fresh1, list_bool_and(list_transform(af, lambda x: coalesce(len(list_intersect(x, p2)) / len(x), 0) < 0.08)) as fresh2 from o),
 s as (select *, coalesce(rn > 1 and named and s1 < 0.25 and fresh1, false) as switch1, coalesce(rn > 1 and named and similarity < 0.25 and fresh1 and (fresh2 or p2 is null), false) as switch2 from base)"""
 
+#: The segment fold as a recursion over turns.
+SEGMENT_FOLD = f"""with recursive {SIGNALS}, fold as (
+select session_id, turn_id, rn, 0 as segment, 1 as n, 'independent' as carryover from s where rn = 1 union all
+select session_id, turn_id, rn, segment + starts::int, case when starts then 1 else n + 1 end, case when starts then 'weak' when marked and own >= 0.08 then 'strong' when marked or own >= 0.18 or held then 'mixed' else 'weak' end from (
+  select *, not marked and similarity < 0.18 and not held as starts from (
+    select *, not switch2 and not switch_own and (marked or len(f) <= 24 or own >= 0.06) as held from (
+      select s.*, fold.segment, fold.n, case when fold.n > 1 then s.similarity else s.s1 end as own, case when fold.n > 1 then s.switch2 else s.switch1 end as switch_own from fold join s on s.session_id = fold.session_id and s.rn = fold.rn + 1))))"""
+
 
 def query(sql: str | None = None):
     def register(f):
@@ -69,13 +77,7 @@ def ses_05_06_topic_switch(spark: SparkSession, root: str) -> DataFrame:
     return sessions.topic_switch(eval_turns(spark, root)).select("session_id", "turn_id", "carryover", F.round("similarity", 6).alias("similarity"), F.size("anchors").alias("anchors"), "switch")
 
 
-@query(f"""with recursive {SIGNALS}, fold as (
-select session_id, turn_id, rn, 0 as segment, 1 as n, 'independent' as carryover from s where rn = 1 union all
-select session_id, turn_id, rn, segment + starts::int, case when starts then 1 else n + 1 end, case when starts then 'weak' when marked and own >= 0.08 then 'strong' when marked or own >= 0.18 or held then 'mixed' else 'weak' end from (
-  select *, not marked and similarity < 0.18 and not held as starts from (
-    select *, not switch2 and not switch_own and (marked or len(f) <= 24 or own >= 0.06) as held from (
-      select s.*, fold.segment, fold.n, case when fold.n > 1 then s.similarity else s.s1 end as own, case when fold.n > 1 then s.switch2 else s.switch1 end as switch_own from fold join s on s.session_id = fold.session_id and s.rn = fold.rn + 1))))
-select session_id, turn_id, segment, carryover from fold""")
+@query(SEGMENT_FOLD + " select session_id, turn_id, segment, carryover from fold")
 def ses_10_segments(spark: SparkSession, root: str) -> DataFrame:
     """Topic segments, a fold over each session."""
     return sessions.segments(eval_turns(spark, root))

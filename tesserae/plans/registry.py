@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import conversation, evaluation, expansion, retrieval
+from tesserae.plans import conversation, evaluation, expansion, memory, retrieval
 
-MODULES = (retrieval, conversation, evaluation, expansion)
+MODULES = (retrieval, conversation, evaluation, expansion, memory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -274,7 +274,7 @@ def idx_03_hashed_vectors(spark: SparkSession, root: str) -> DataFrame:
     return vectors.where("x <> 0").select("chunk_no", F.col("slot").cast("bigint").alias("slot"), F.round("x", 6).alias("x"))
 
 
-def _hybrid(spark: SparkSession, root: str, k: int = 40) -> DataFrame:
+def hybrid(spark: SparkSession, root: str, k: int = 40) -> DataFrame:
     asked = questions(spark, root)
     question_vectors = stored(index.hashed_vectors(asked, "query_id", F.col("query")))
     dense = retrieval.dense_topk(question_vectors, chunk_vectors(spark, root), k, digits=6).select("query_id", F.col("item_id").alias("chunk_no"), "score")
@@ -284,7 +284,7 @@ def _hybrid(spark: SparkSession, root: str, k: int = 40) -> DataFrame:
 @query(HYBRID + """ select query_id, chunk_no, round(lexical_score, 6) as lexical_score, round(dense_score, 6) as dense_score, score, rank from fused where rank <= 20""")
 def ret_05_hybrid_fusion(spark: SparkSession, root: str) -> DataFrame:
     """Lexical and vector lists, each max-normalised, in one outer union; the best 20."""
-    fused = _hybrid(spark, root).withColumn("score", F.round("score", 6))
+    fused = hybrid(spark, root).withColumn("score", F.round("score", 6))
     best = retrieval.top_k(fused, 20, ["query_id"], [F.desc("score"), F.asc("chunk_no")])
     return best.select("query_id", "chunk_no", F.round("lexical_score", 6).alias("lexical_score"), F.round("dense_score", 6).alias("dense_score"), "score", "rank")
 
@@ -362,7 +362,7 @@ def ret_13_symbol_neighbours(spark: SparkSession, root: str) -> DataFrame:
 def ret_16_17_evidence_pack(spark: SparkSession, root: str) -> DataFrame:
     """Retrieved chunks, their call and file neighbours, then the pack within the budget."""
     chunks = table(spark, root, "chunks")
-    fused = retrieval.top_k(_hybrid(spark, root).withColumn("score", F.round("score", 6)), 12, ["query_id"], [F.desc("score"), F.asc("chunk_no")])
+    fused = retrieval.top_k(hybrid(spark, root).withColumn("score", F.round("score", 6)), 12, ["query_id"], [F.desc("score"), F.asc("chunk_no")])
     fused = stored(fused.select("query_id", "chunk_no", F.col("rank").alias("ord")))
     graph = retrieval.symbol_neighbours(fused, chunk_calls(spark, root), 1).select("query_id", "chunk_no", F.col("hop").alias("ord"))
     near = retrieval.file_neighbours(fused.select("query_id", "chunk_no"), chunks).select("query_id", "chunk_no", F.abs("distance").alias("ord"))

@@ -102,9 +102,8 @@ def ngrams(text: Column, shortest: int = 2, longest: int = 8) -> Column:
 
 def byte_tokens(text: Column, vocabulary: int = 256) -> Column:
     """The text's UTF-8 bytes, modulo the vocabulary."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    codes = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int") % vocabulary)
-    return F.when(F.length(digits) > 0, codes).otherwise(F.array().cast("array<int>"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("([0-9A-F]{2})"), 1)
+    return F.coalesce(F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int") % vocabulary), F.array().cast("array<int>"))
 
 
 def normalised_text(text: str | None) -> str | None:

@@ -73,3 +73,34 @@ def over_thresholds(stats: DataFrame, limits: dict[str, float]) -> DataFrame:
     """Rows of statistics that exceed a limit, with the names of the measures that do."""
     over = F.array_compact(F.array(*[F.when(F.col(c) > x, F.lit(c)) for c, x in limits.items()]))
     return stats.withColumn("violations", over).where(F.size("violations") > 0)
+
+
+def static_check(results: DataFrame, by: str, unanswerable: Column) -> DataFrame:
+    """Per group: citation rates over all rows and over the answerable ones, and correct abstentions.
+
+    ``results`` has ``no_citation`` and ``wrong_citation_indices``; rates without rows are 0.
+    """
+    missing = F.coalesce("no_citation", F.lit(False))
+    per = results.withColumn("_u", unanswerable).withColumn("_m", missing).groupBy(by).agg(
+        F.count("*").alias("total"), rate(F.col("_m")).alias("no_citation_rate"), F.count_if(F.size("wrong_citation_indices") > 0).alias("wrong_citation_count"),
+        F.count_if(F.col("_u") & F.col("_m")).alias("correct_abstains"), F.count_if(~F.col("_u")).alias("answerable_total"), F.count_if(~F.col("_u") & F.col("_m")).alias("answerable_no_cite"),
+    )
+    return per.withColumn("true_nc_rate", F.coalesce(F.col("answerable_no_cite") / F.nullif("answerable_total", F.lit(0)), F.lit(0.0)))
+
+
+def rubric_aggregate(scores: DataFrame, by: str, dimensions: dict[str, float]) -> DataFrame:
+    """Mean of each rubric dimension, of their sum and of the sum as a share of 100; ``dimensions`` gives each one's highest score, a missing score counts 0."""
+    means = scores.groupBy(by).agg(F.count("*").alias("n"), *[(F.sum(F.coalesce(F.col(d), F.lit(0.0))) / F.count("*")).alias(f"{d}_mean") for d in dimensions])
+    total = sum((F.col(f"{d}_mean") for d in dimensions), F.lit(0.0))
+    top = sum(dimensions.values())
+    return means.withColumn("total_mean", total).withColumn("total_100", F.col("total_mean") / top * 100 if top > 0 else F.lit(0.0))
+
+
+def pattern_recall(packs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, wanted, hits, recall``: the share of an answer's expected patterns that occur in any text of its pack; answers without patterns are left out.
+
+    ``packs`` has ``keys`` and ``text``; ``wanted`` has ``keys`` and the array ``patterns``, one row per answer. Texts of a pack are few.
+    """
+    asked = wanted.select(*keys, F.explode(F.filter(F.array_distinct("patterns"), lambda p: p != "")).alias("pattern"))
+    found = asked.join(packs, keys, "left").groupBy(*keys, "pattern").agg(F.coalesce(F.max(F.contains("text", F.col("pattern"))), F.lit(False)).alias("hit"))
+    return found.groupBy(*keys).agg(F.count("*").alias("wanted"), F.count_if("hit").alias("hits")).withColumn("recall", F.col("hits") / F.col("wanted"))

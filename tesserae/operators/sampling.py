@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.tables import stored
+
 
 def hash_key(*columns: str, seed: int = 0) -> Column:
     """A fixed pseudo-random order: the MD5 of the seed and the columns, the same in other engines."""
@@ -32,11 +34,25 @@ def split(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     return placed.withColumn("part", F.when(rank <= limit, "val").otherwise("train")).drop("_h", "_p", "count", "_before", "_n")
 
 
+def group_ranks(rows: DataFrame, by: list[str], order: list[str], ranges: int = 256) -> DataFrame:
+    """Add ``rank`` (from 1, in the columns' order) and ``n`` within each group, however large one is.
+
+    Rows are cut into ranges of the order, stored, and counted per group and range; a row's rank is the count of the ranges before plus its rank
+    inside its range, so a group of a third of all rows is spread over all ranges. Null groups are groups.
+    """
+    ranged = stored(rows.withColumn("_g", F.struct(*by)).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    per = ranged.groupBy("_g", "_range").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy("_g")
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("_g", "_range", before.alias("_before"), F.sum("_n").over(group).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("_g", "_range").orderBy(*order))
+    return ranged.withColumn("_r", inside).join(per, ["_g", "_range"]).withColumn("rank", F.col("_before") + F.col("_r")).drop("_g", "_range", "_before", "_r")
+
+
 def full_batches(rows: DataFrame, by: str, key: str, size: int) -> DataFrame:
     """Add ``batch`` per group in hash order, dropping the rows of a batch that isn't full: the operator's purpose."""
-    order = Window.partitionBy(by).orderBy(hash_key(key), key)
-    placed = rows.withColumn("_r", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    return placed.where(F.col("_r") < F.floor(F.col("_n") / size) * size).withColumn("batch", F.floor(F.col("_r") / size)).drop("_r", "_n")
+    placed = group_ranks(rows.withColumn("_h", hash_key(key)), [by], ["_h", key])
+    return placed.where(F.col("rank") <= F.floor(F.col("n") / size) * size).withColumn("batch", F.floor((F.col("rank") - 1) / size)).drop("rank", "n", "_h")
 
 
 def allocation(weights: DataFrame, n: int, name: str, weight: str) -> DataFrame:
@@ -65,9 +81,56 @@ def neighbours(seeds: DataFrame, steps: dict[str, list]) -> DataFrame:
     return moved.join(seeds, seeds.columns, "left_anti")
 
 
-def weighted_counts(weights: dict[str, float], sizes: dict[str, int]) -> dict[str, int]:
-    """How many records of each source a weighted mix takes: as many in all as the scarcest allows, rounded down for each."""
+def weighted_mix(rows: DataFrame, pool: str, key: str, weights: dict[str, float], val_share: float = 0.0, seed: int = 0) -> DataFrame:
+    """Rows of weighted pools in one order, with ``place`` and ``part``: as many of each pool as its weight of the total allows, where the total is what the scarcest pool allows.
+
+    Rows are taken in hash order; the last ``val_share`` of the whole order are ``val``, the others ``train``. Weights must be positive and add up to 1.
+    A pool without rows leaves the mix empty. Rows of other pools are left out.
+    """
     if not weights or abs(sum(weights.values()) - 1) > 1e-6 or any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive and add up to 1")
-    total = min(int(sizes.get(k, 0) / w) for k, w in weights.items())
-    return {k: int(total * w) for k, w in weights.items()}
+    pools = rows.sparkSession.createDataFrame(list(weights.items()), f"{pool} string, _w double")
+    counted = group_ranks(rows.join(F.broadcast(pools), pool).withColumn("_h", hash_key(key, seed=seed)), [pool], ["_h", key]).drop("_h")  # weights: given with the call
+    sizes = pools.join(counted.groupBy(pool).agg(F.first("n").alias("_n")), pool, "left")
+    total = sizes.agg(F.min(F.floor(F.coalesce("_n", F.lit(0)) / F.col("_w") + 1e-9)).alias("_total"))
+    taken = counted.join(F.broadcast(total)).where(F.col("rank") <= F.floor(F.col("_total") * F.col("_w") + 1e-9)).drop("rank", "n", "_w", "_total")  # one row
+    mixed = group_ranks(taken.withColumn("_h", hash_key(key, seed=seed + 1)).withColumn("_all", F.lit(0)), ["_all"], ["_h", key]).drop("_h", "_all")
+    return mixed.withColumn("part", F.when(F.col("rank") > F.col("n") - F.floor(F.col("n") * val_share), "val").otherwise("train")).withColumnRenamed("rank", "place").drop("n")
+
+
+def category_picks(index: DataFrame, categories: dict[str, tuple[str, ...]], key: str, n: int, seed: int = 0) -> DataFrame:
+    """``category, key, pick``: up to ``n`` documents for each category, in hash order.
+
+    A category names flags: the first is required, each further one only where some document with the flags before it has it too.
+    """
+    parts = []
+    for name, flags in categories.items():
+        pool = index.withColumn("category", F.lit(name)).withColumn("_h", hash_key("category", key, seed=seed))
+        for i, flag in enumerate(flags):
+            if i:
+                some = pool.agg(F.coalesce(F.max(F.col(flag)), F.lit(False)).alias("_some"))
+                pool = pool.join(F.broadcast(some)).where(F.col(flag) | ~F.col("_some")).drop("_some")  # one row
+            else:
+                pool = pool.where(F.col(flag))
+        parts.append(pool.select("category", key, "_h"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    order = Window.partitionBy("category").orderBy("_h", key)
+    return every.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= n).drop("_h")
+
+
+def token_faults(lines: DataFrame, key: str, tokens: str, vocabulary: int, most: int) -> DataFrame:
+    """``key, n_tokens, fault`` of lines of token ids that can't be trained on: ``empty``, ``too_long`` or ``out_of_range``, the first that applies. Null ids are out of range."""
+    t = F.col(tokens)
+    fault = F.when(t.isNull() | (F.size(t) == 0), "empty").when(F.size(t) > most, "too_long").when(F.exists(t, lambda x: x.isNull() | (x < 0) | (x >= vocabulary)), "out_of_range")
+    return lines.select(key, F.coalesce(F.greatest(F.size(t), F.lit(0)), F.lit(0)).alias("n_tokens"), fault.alias("fault")).where("fault is not null")
+
+
+def chosen_variants(rows: DataFrame, variant: str, wanted: str) -> DataFrame:
+    """The rows of the variants in a list with commas, with ``position`` in it; an unknown variant is an error when the rows are read."""
+    names = [w.strip() for w in wanted.split(",") if w.strip()]
+    asked = rows.sparkSession.createDataFrame([(w, i) for i, w in enumerate(dict.fromkeys(names))], f"{variant} string, position int")
+    known = rows.select(variant).distinct().withColumn("_known", F.lit(True))
+    checked = asked.join(known, variant, "left").select(variant, F.when(F.col("_known"), F.col("position")).otherwise(F.raise_error(F.concat(F.lit("unknown variant "), F.col(variant))).cast("int")).alias("position"))
+    return rows.join(F.broadcast(checked), variant)  # as long as the list given

@@ -228,7 +228,8 @@ def chk_07_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunk_files(table(spark, root, "source_files")).select("file_id", "chunk_id", "start_line", "end_line", F.md5("content").alias("digest"), F.size("symbols").alias("symbols"), "section_header")
 
 
-@query()
+@query(f"""with {TURNS}, e as (select count(*) as expected from turns), f as (select run_label, count(t.turn_id) as found from (select distinct run_label, session_id, turn_id from query_results) r left join turns t on t.session_id = r.session_id and t.turn_id = r.turn_id group by run_label)
+select run_label, expected, found, expected - found as missing from f, e""")
 def orc_01_runs(spark: SparkSession, root: str) -> DataFrame:
     """Turns expected of each run, found in it and missing from it, to resume by."""
     turns = eval_turns(spark, root).select("session_id", "turn_id")
@@ -239,7 +240,9 @@ def orc_01_runs(spark: SparkSession, root: str) -> DataFrame:
     return found.crossJoin(expected).select("run_label", "expected", "found", (F.col("expected") - F.col("found")).alias("missing"))
 
 
-@query()
+@query("""with r as (select run_label, session_id, turn_id, unnest(cited_chunk_ids) as chunk from query_results where session_id is not null and turn_id is not null),
+t as (select distinct run_label, session_id, turn_id from query_results where session_id is not null and turn_id is not null)
+select t.run_label, t.session_id, t.turn_id, count(distinct r.chunk) as distinct_citations from t left join r on r.run_label = t.run_label and r.session_id = t.session_id and r.turn_id <= t.turn_id group by all""")
 def ses_01_cumulative_citations(spark: SparkSession, root: str) -> DataFrame:
     """Distinct chunks cited so far in each session of each run, over all results."""
     r = table(spark, root, "query_results").where("session_id is not null and turn_id is not null")

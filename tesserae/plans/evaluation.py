@@ -112,10 +112,10 @@ def agg_14_matrix(spark: SparkSession, root: str) -> DataFrame:
     return p.groupBy("variant_name", "generator_used").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.count_if((F.col("turn_id") >= 5) & F.col("no_citation")).alias("late_no_citation"))
 
 
-@query()
+@query("select run_label, generator_used, count(*) as n from query_results where generator_used is not null group by all")
 def agg_14_value_counts(spark: SparkSession, root: str) -> DataFrame:
     counts = S.value_counts(table(spark, root, "query_results"), ["run_label"], "generator_used")
-    return counts.select("run_label", F.to_json("generator_used_counts").alias("generator_used_counts"))
+    return counts.select("run_label", F.explode("generator_used_counts").alias("generator_used", "n"))
 
 
 AB = """with r as (select session_id, turn_id, run_label, latency.total_ms as ms, no_citation, cited_chunk_ids, row_number() over (partition by session_id, turn_id, run_label order by result_id) as k from query_results where session_id is not null and turn_id is not null),

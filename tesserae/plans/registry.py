@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import conversation, evaluation, evidence, expansion, memory, retrieval
+from tesserae.plans import conversation, evaluation, evidence, expansion, memory, quality, retrieval
 
-MODULES = (retrieval, conversation, evaluation, expansion, memory, evidence)
+MODULES = (retrieval, conversation, evaluation, expansion, memory, evidence, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

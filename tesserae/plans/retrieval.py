@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.operators import index, retrieval
+from tesserae.operators import index, retrieval, sampling
 from tesserae.plans.conversation import eval_turns
 from tesserae.plans.fragments import BM25, CJK, HYBRID, SLOTS, TEXT, features, tokens
 from tesserae.sources.tables import stored, table
@@ -209,8 +209,7 @@ select doc_id, case when n = 1 then slug else slug || '-' || lpad(n::varchar, gr
 def src_10_unique_folders(spark: SparkSession, root: str) -> DataFrame:
     """Folder names of collected documents; repeated slugs are numbered in input order."""
     slugs = table(spark, root, "documents").select("doc_id", T.slug(F.col("title")).alias("slug"))
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("doc_id"))
-    numbered = slugs.withColumn("n", n)
+    numbered = sampling.group_ranks(slugs, ["slug"], ["doc_id"]).drop("n").withColumnRenamed("rank", "n")
     return numbered.select("doc_id", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.when(F.col("n") < 10, F.concat(F.lit("0"), F.col("n"))).otherwise(F.col("n").cast("string")))).alias("folder"))
 
 
@@ -228,16 +227,17 @@ def txt_08_article_flags(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").groupBy("source").agg(*flags)
 
 
-@query("""select result_id, length(regexp_replace(answer, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) as n_clean, left(regexp_replace(answer, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), 40) as opening,
+@query("""select result_id, length(left(regexp_replace(answer, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), 2048)) as n_clean, left(regexp_replace(answer, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), 40) as opening,
 contains(lower(answer), 'thinking process:') or contains(lower(answer), 'here''s a thinking process') or contains(lower(answer), 'analyze the request:') or contains(lower(answer), '<|channel|>thought') as leaks from query_results""")
 def txt_09_10_sanitised(spark: SparkSession, root: str) -> DataFrame:
-    clean = T.sanitised(F.col("answer"), 1_000_000)
+    clean = T.sanitised(F.col("answer"))
     return table(spark, root, "query_results").select("result_id", F.length(clean).cast("bigint").alias("n_clean"), F.left(clean, F.lit(40)).alias("opening"), T.leaks_reasoning(F.col("answer")).alias("leaks"))
 
 
-@query("""select chunk_no, octet_length(encode(content)) as n_bytes from chunks""")
+@query("""select chunk_no, octet_length(encode(content)) as n_bytes, md5(lower(hex(encode(content)))) as digest from chunks""")
 def txt_11_byte_tokens(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "chunks").select("chunk_no", F.size(T.byte_tokens(F.col("content"))).cast("bigint").alias("n_bytes"))
+    ids = table(spark, root, "chunks").select("chunk_no", T.byte_tokens(F.col("content")).alias("ids"))
+    return ids.select("chunk_no", F.size("ids").cast("bigint").alias("n_bytes"), F.md5(F.array_join(F.transform("ids", lambda i: F.lpad(F.lower(F.hex(i.cast("bigint"))), 2, "0")), "")).alias("digest"))
 
 
 @query()
@@ -333,7 +333,11 @@ def idx_06_heading_index(spark: SparkSession, root: str) -> DataFrame:
     return index.headings(table(spark, root, "chunks")).groupBy("repo_id", "section_header").agg(F.count("*").alias("chunks"), F.min("chunk_no").alias("first_chunk"))
 
 
-@query()
+@query(BM25 + """, top as (select * from (select query_id, chunk_no, row_number() over (partition by query_id order by round(score, 6) desc, rel_path, start_line, chunk_no) as k from scores join chunks using (chunk_no)) where k <= 10),
+h as (select repo_id, repo_commit, section_header, chunk_no, string_split(section_header, ' > ') as parts from chunks where language = 'markdown' and section_header <> '' and len(string_split(section_header, ' > ')) <= 10 and len(list_filter(string_split(section_header, ' > '), lambda p: length(p) between 1 and 500)) = len(string_split(section_header, ' > '))),
+own as (select t.query_id, h.* from top t join h using (chunk_no)),
+wanted as (select query_id, chunk_no as seed, repo_id, repo_commit, section_header, 1 as kind from own union all select query_id, chunk_no, repo_id, repo_commit, array_to_string(parts[1:len(parts) - 1], ' > '), 0 from own where len(parts) > 1)
+select w.query_id, w.kind, count(distinct h.chunk_no) as chunks from wanted w join h using (repo_id, repo_commit, section_header) where h.chunk_no <> w.seed group by all""")
 def ret_14_heading_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """Neighbours of each question's best chunks in the heading tree."""
     headed = index.headings(table(spark, root, "chunks"))
@@ -371,7 +375,11 @@ def ret_16_17_evidence_pack(spark: SparkSession, root: str) -> DataFrame:
     return retrieval.evidence_pack(sized.withColumn("pinned", F.lit(False)).withColumn("recent", F.col("source") == "graph"))
 
 
-@query()
+@query(BM25 + f""", top as (select * from (select query_id, chunk_no, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, rel_path, start_line, chunk_no) as k from scores join chunks using (chunk_no)) where k <= 40),
+pool as (select t.query_id, t.chunk_no, t.score, {' or '.join(f"contains(c.rel_path, '{n}')" for n in retrieval.NOISE)} as noise, {features('q.query')} as qf, {features("concat('Document path: ', rel_path, chr(10), 'Section: ', coalesce(section_header, ''), chr(10), 'Content: ', left(content, 600))")} as pf from top t join chunks c using (chunk_no) join queries q using (query_id)),
+clean as (select *, count(*) filter (not noise) over (partition by query_id) as n_clean from pool),
+r as (select query_id, chunk_no, score, round(case when len(qf) > 0 and len(pf) > 0 then len(list_intersect(qf, pf)) / len(qf) else 0 end, 6) as reranker_score from clean where not noise or n_clean = 0),
+p as (select *, row_number() over (partition by query_id order by reranker_score desc, score desc, chunk_no) as rank from r) select query_id, chunk_no, reranker_score, score, rank from p where rank <= 8""")
 def ret_10_rerank_overlap(spark: SparkSession, root: str) -> DataFrame:
     """Reranking with the default scorer, the share of the question's features found in the passage."""
     chunks, asked = table(spark, root, "chunks"), questions(spark, root)

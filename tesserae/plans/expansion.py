@@ -146,7 +146,7 @@ def src_07_html_pages(spark: SparkSession, root: str) -> DataFrame:
     escape = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     page = F.concat(F.lit("<html><head><title>"), F.coalesce(sanitised(F.col("title")), F.lit("")), F.lit("</title></head><body><h1>Text</h1><p>"), escape, F.lit("</p><script>x</script></body></html>"))
     pages = table(spark, root, "documents").select("doc_id", src.html_markdown(page).alias("m"))
-    return pages.select("doc_id", F.md5("m.body").alias("digest"), F.length("m.body").alias("chars"))
+    return pages.select("doc_id", "m.title", F.md5("m.body").alias("digest"), F.length("m.body").alias("chars"))
 
 
 @query("""with v as (select vec_id // 25 as session_id, vec_id % 25 as turn_id, embedding::double[] as vector from embeddings), l as (select *, lag(vector) over (partition by session_id order by turn_id) as last from v),

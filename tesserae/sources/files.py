@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import normalised_text
+
 # Languages by suffix.
 LANGUAGES = {
     ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".go": "go", ".rs": "rust", ".java": "java", ".kt": "kotlin",
@@ -68,48 +70,53 @@ def kind_of(content_type: Column, url: Column) -> Column:
     )
 
 
-class _Page(HTMLParser):
-    """Title and markdown of a page; scripts and styles go."""
+# What a tag's start and end put into the markdown, and tags whose content is left out.
+BLOCKS, BREAKS, HEADINGS, HIDDEN = ("p", "div", "section", "article", "main"), ("br", "hr"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("script", "style", "noscript")
+OPENED = {t: "\n\n" for t in BLOCKS} | {t: "\n" for t in BREAKS} | {t: "\n\n" + "#" * n + " " for n, t in enumerate(HEADINGS, 1)} | {"li": "\n- "}
+CLOSED = {t: "\n" for t in (*BLOCKS, "li")} | {t: "\n\n" for t in HEADINGS}
 
-    SKIP, BLOCK = {"script", "style", "noscript"}, {"p", "div", "section", "article", "br", "tr", "table", "ul", "ol", "header", "footer", "main", "blockquote", "pre"}
+
+class _Page(HTMLParser):
+    """Pieces of a page's title and of its markdown."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
+        self.body: list[str] = []
         self.title: list[str] = []
-        self.skipped, self.in_title = 0, False
+        self.hidden = 0
+        self.into = self.body
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.skipped += tag in self.SKIP
-        self.in_title |= tag == "title"
-        if tag in self.BLOCK:
-            self.out.append("\n")
-        elif re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag == "li":
-            self.out.append("\n- ")
+        if tag in HIDDEN:
+            self.hidden += 1
+        elif not self.hidden and tag == "title":
+            self.into = self.title
+        elif not self.hidden:
+            self.body.append(OPENED.get(tag, ""))
 
     def handle_endtag(self, tag: str) -> None:
-        self.skipped -= tag in self.SKIP and self.skipped > 0
-        self.in_title &= tag != "title"
-        if tag in self.BLOCK or re.fullmatch("h[1-6]", tag):
-            self.out.append("\n")
+        if self.hidden:
+            self.hidden -= tag in HIDDEN
+        elif tag == "title":
+            self.into = self.body
+        else:
+            self.body.append(CLOSED.get(tag, ""))
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
-        elif not self.skipped:
-            self.out.append(re.sub(r"\s+", " ", data))
+        if not self.hidden and (self.into is self.title or data.strip()):
+            self.into.append(data if self.into is self.title else data.strip() + " ")
 
 
-def page_markdown(page: str | None) -> tuple[str | None, str | None]:
-    """Title and markdown body of an HTML page; null gives nulls."""
+def page_markdown(page: str | None, fallback: str = "Untitled") -> tuple[str | None, str | None]:
+    """Title and markdown body of an HTML page, both normalised; a page without a body has its title for one. Null gives nulls."""
     if page is None:
         return None, None
     parser = _Page()
     parser.feed(page)
     parser.close()
-    return " ".join("".join(parser.title).split()) or None, re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(parser.out))).strip() + "\n"
+    title = (normalised_text(" ".join(parser.title)) or "").strip() or fallback
+    body = normalised_text("".join(parser.body)) or ""
+    return title, body if body.strip() else title + "\n"
 
 
 def html_markdown(pages: Column) -> Column:

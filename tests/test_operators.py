@@ -11,13 +11,37 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.functions.percentiles import METHODS, percentile
-from tesserae.operators import chunking, citations, index, retrieval, sampling, sessions
+from tesserae.operators import chunking, citations, evidence, index, retrieval, sampling, sessions
 from tesserae.operators.selection import POSITIONS, percentiles
 from tesserae.sources import files as src
 from tesserae.streaming.events import streamed_segments
 
 
+METHODS = ("linear", "nearest_rank", "even_index", "upper_median", "round_rank", "floor_index")
+
+
+def percentile(x, q, method):
+    """Aggregate ``x`` at quantile ``q``; nulls are left out and no values give null.
+
+    ``linear`` interpolates, ``nearest_rank`` takes the lowest value with a share of at least q up to it. The
+    others index the sorted values: ``even_index`` at round-half-even q(n-1), ``upper_median`` at n/2,
+    ``round_rank`` at round-half-even qn, minus 1, and ``floor_index`` at the floor of q(n-1). Those gather a group's values in one
+    row, so they are for groups that fit in a task.
+    """
+    if method == "linear":
+        return F.percentile(x, q)
+    values = F.sort_array(F.collect_list(x))
+    n = F.size(values)
+    index = {
+        "nearest_rank": F.greatest(F.ceil(F.lit(q) * n).cast("int") - 1, F.lit(0)),
+        "even_index": F.bround(F.lit(q) * (n - 1), 0).cast("int"),
+        "upper_median": F.floor(n / 2).cast("int"),
+        "round_rank": F.greatest(F.bround(F.lit(q) * n, 0).cast("int") - 1, F.lit(0)),
+        "floor_index": F.floor(F.lit(q) * (n - 1)).cast("int"),
+    }[method]
+    return F.when(n > 0, F.get(values, index))
+
+
 def column(spark, values, expr, kind="string"):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, x {kind}")
     return [r[1] for r in sorted(rows.select("i", expr(F.col("x")).alias("y")).collect())]
@@ -188,6 +212,33 @@ def test_markdown_sections():
     assert chunking.paragraphs("x" * 20, 8, 2) == ["x" * 8, "x" * 8, "x" * 8]
 
 
+def test_call_edges_join_definitions(spark):
+    rows = [
+        (1, "r", "python", "def load():\n    return save(1)\n", ["load"]), (2, "r", "python", "def save(x):\n    return x.load()\n", ["save"]), (3, "r", "python", "def (broken", ["broken"]),
+        (4, "other", "python", "save()\n", []), (5, "r", "go", "save()", []), (6, "r", "python", None, None),
+    ]
+    chunks = spark.createDataFrame(rows, "chunk_no int, repo_id string, language string, content string, symbols array<string>")
+    edges = {(r.from_chunk, r.to_chunk, r.symbol) for r in index.call_edges(chunks, index.definitions(chunks)).collect()}
+    assert edges == {(1, 2, "save"), (2, 1, "load")}
+
+
+def test_pack_with_pins(spark):
+    rows = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (1, 12, 5), (2, 10, 1)], "query_id int, chunk_no int, position int")
+    pins = spark.createDataFrame([(1, 12, 1), (1, 99, 2), (1, 12, 3)], "query_id int, chunk_no int, position int")
+    recent = spark.createDataFrame([(1, 11), (1, 11)], "query_id int, chunk_no int")
+    sizes = spark.createDataFrame([(10, 8), (11, 8), (12, 8), (99, 8)], "chunk_no int, chars int")
+    got = [(r.query_id, r.citation_index, r.chunk_no, r.priority) for r in evidence.pack_with_pins(rows, pins, recent, sizes, 8, 7).orderBy("query_id", "citation_index").collect()]
+    assert got == [(1, 1, 12, 0), (1, 2, 99, 0), (1, 3, 11, 1), (2, 1, 10, 2)]
+    assert evidence.pack_with_pins(rows.limit(0), pins.limit(0), recent, sizes).count() == 0
+
+
+def test_segments_follow_the_rules(spark):
+    told = ["アプリの概要を教えて", "それはどこですか", "x" * 60 + " zebra quartz " + " ".join(f"word{i}" for i in range(30)), " ".join(f"other{i}" for i in range(30)), "short one", "料金プラン改定について", None, ""]
+    turns = spark.createDataFrame([("s", i, q) for i, q in enumerate(told, 1)], "session_id string, turn_id int, question string")
+    got = {r.turn_id: (r.segment, r.carryover) for r in sessions.segments(turns).collect()}
+    assert got[1] == (0, "independent") and got[2][1] == "mixed" and got[3] == (1, "weak") and got[4] == (2, "weak") and got[5] == (2, "mixed") and got[6] == (3, "weak")
+
+
 def test_full_width_titles_have_slugs(spark):
     assert column(spark, ["Ｈｅｌｌｏ　Ｗｏｒｌｄ１", "ﬁle①", "第３条"], T.slug) == ["hello-world1", "file1", "3"]
 
@@ -249,6 +300,7 @@ def test_sources(spark, tmp_path):
         src.parsed_urls(spark.createDataFrame([("oops",)], "line string")).collect()
     page = "<html><head><title> A  b </title><style>x</style></head><body><h2>Top</h2><p>one<br>two</p><ul><li>x</li></ul><script>no</script></body></html>"
     assert src.page_markdown(page) == ("A b", "## Top\n\none\ntwo\n\n- x\n") and src.page_markdown(None) == (None, None)
+    assert src.page_markdown("<script><style></style>x</script><div>a  b</div>") == ("Untitled", "a b\n") and src.page_markdown("<title>Only</title>") == ("Only", "Only\n")
     kinds = spark.createDataFrame([("text/html", "https://a/x"), (None, "https://a/x.PDF"), ("", "https://a/x.md"), ("text/plain", "https://a/x"), (None, None)], "c string, u string")
     assert [r[0] for r in kinds.select(src.kind_of(F.col("c"), F.col("u"))).collect()] == ["html", "pdf", "markdown", "text", "html"]
     for name, body in (("a/x.py", "p = 1\n"), ("root.py", "q\n"), ("a/skip/y.py", "z\n")):
@@ -282,9 +334,39 @@ def test_grids_and_weights(spark):
     assert phase.count() == 24
     seeds = spark.createDataFrame([(5, 5)], "a int, b int")
     assert sorted(map(tuple, sampling.neighbours(seeds, {"a": [-1, 1], "b": [-1, 0, 1]}).collect())) == [(4, 5), (5, 4), (5, 6), (6, 5)]
-    assert sampling.weighted_counts({"x": 0.75, "y": 0.25}, {"x": 300, "y": 50}) == {"x": 150, "y": 50}
-    with pytest.raises(ValueError, match="add up"):
-        sampling.weighted_counts({"x": 0.5}, {"x": 1})
+
+
+def test_weighted_mix(spark):
+    rows = spark.createDataFrame([("x" if i % 7 else "y", i) for i in range(350)] + [("z", 999), (None, 1000)], "source string, doc_id int")
+    mixed = sampling.weighted_mix(rows.withColumn("n", F.lit("clash")).drop("n"), "source", "doc_id", {"x": 0.75, "y": 0.25}, 0.1).collect()
+    assert sorted(r.place for r in mixed) == list(range(1, 201)) and sum(r.source == "x" for r in mixed) == 150 and sum(r.part == "val" for r in mixed) == 20
+    assert {r.part for r in mixed if r.place > 180} == {"val"}
+    assert sampling.weighted_mix(rows, "source", "doc_id", {"x": 0.5, "gone": 0.5}).count() == 0 and sampling.weighted_mix(rows.limit(0), "source", "doc_id", {"x": 1.0}).count() == 0
+    for bad in ({"x": 0.5}, {}, {"x": 1.5, "y": -0.5}):
+        with pytest.raises(ValueError, match="add up"):
+            sampling.weighted_mix(rows, "source", "doc_id", bad)
+
+
+def test_ranks_of_large_groups(spark):
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 else rng.choice(["a", None]), rng.randrange(50), i) for i in range(400)]
+    got = sampling.group_ranks(spark.createDataFrame(rows, "g string, o int, i int"), ["g"], ["o", "i"], ranges=16).collect()
+    for group in ("hot", "a", None):
+        own = sorted((o, i) for g, o, i in rows if g == group)
+        assert {r.i: (r.rank, r.n) for r in got if r.g == group} == {i: (k, len(own)) for k, (_, i) in enumerate(own, 1)}
+
+
+def test_picks_faults_and_variants(spark):
+    index = spark.createDataFrame([(i, True, i % 2 == 0, i == 3) for i in range(8)], "doc_id int, always boolean, has_a boolean, has_b boolean")
+    picks = sampling.category_picks(index, {"all": ("always",), "a": ("has_a",), "both": ("has_a", "has_b"), "b": ("always", "has_b")}, "doc_id", 3).collect()
+    by = {c: {r.doc_id for r in picks if r.category == c} for c in ("all", "a", "both", "b")}
+    assert len(by["all"]) == 3 and len(by["a"]) == 3 and by["a"] <= {0, 2, 4, 6} and by["both"] <= {0, 2, 4, 6} and by["b"] == {3}
+    lines = spark.createDataFrame([(1, [1, 2]), (2, []), (3, None), (4, [1] * 9), (5, [1, -1]), (6, [1, None]), (7, [8])], "i int, t array<int>")
+    assert {r.i: (r.n_tokens, r.fault) for r in sampling.token_faults(lines, "i", "t", 8, 5).collect()} == {2: (0, "empty"), 3: (0, "empty"), 4: (9, "too_long"), 5: (2, "out_of_range"), 6: (2, "out_of_range"), 7: (1, "out_of_range")}
+    runs = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "v string, n int")
+    assert {(r.v, r.position) for r in sampling.chosen_variants(runs, "v", "c, a").collect()} == {("c", 0), ("a", 1)}
+    with pytest.raises(Exception, match="unknown variant"):
+        sampling.chosen_variants(runs, "v", "a,nope").collect()
 
 
 def test_grades_and_phrases(spark):

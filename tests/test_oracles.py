@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives DuckDB's rows on the small tables; the others give a stable schema."""
+"""Every registered query with SQL gives DuckDB's rows on the small tables; the others give rows, and are compared with plain versions elsewhere."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ import pytest
 from tesserae.plans import registry
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.1"
+#: Queries on calls between chunks, of which the smaller tables have none.
+RARE = ("idx_05_call_edges", "ret_13_symbol_neighbours")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
@@ -47,5 +50,5 @@ def test_same_rows(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
-    rows = registry.queries()[name](spark, SF)
-    assert rows.columns and rows.count() >= 0
+    rows = registry.queries()[name](spark, SF if name not in RARE else LARGER)
+    assert rows.count() > 0

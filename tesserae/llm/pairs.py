@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import crf
 
-#: Features by name with their rows in the weights, the weights and the transitions.
-Model = tuple[dict[str, int], np.ndarray, np.ndarray]
+#: Rows of the weights by feature under "", and by word under each language asked for, where a word's row is what it says in any
+#: language and what it says in that one; then the weights and the transitions.
+Model = tuple[dict[str, dict[str, int]], np.ndarray, np.ndarray]
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
@@ -214,8 +215,8 @@ def ending(answer: str, closed: bool) -> str:
     return f"{kind} tick={last.count('`') % 2} item={bool(BULLET.match(last))} named={named} bracket={last.count('(') > last.count(')')}"
 
 
-def analyse(question: str, answer: str | None) -> tuple[list[str], list[bool], list[list[str]], list[int]]:
-    """Clauses of an answer, which of them are code, their features by name and the letters of prose in each.
+def analyse(question: str, answer: str | None) -> tuple[list[str], list[bool], list[tuple[list[str], set[str]]], list[int]]:
+    """Clauses of an answer, which of them are code, their features and words that the question hasn't, and the letters of prose in each.
 
     Marks, labels, empty code blocks and stand-ins for missing values are no clauses.
     """
@@ -231,8 +232,6 @@ def analyse(question: str, answer: str | None) -> tuple[list[str], list[bool], l
         masked = "" if code else CODE.sub(" ", part) if "`" in part else part
         unquoted = QUOTED.sub(" ", masked) if QUOTE.search(masked) else masked
         words = units(unquoted if unquoted is masked or WORD.search(unquoted) else masked)
-        for u in set(words) - q_words:
-            names += (f"word {u}", f"word {want} {u}")
         script = "kana" if KANA.search(masked) else "hangul" if HANGUL.search(masked) else "han" if HAN.search(masked) else "latin" if words else "none"
         names += [script, f"{want}|{script}"]
         wrapped = WRAPPER.search(part)
@@ -246,7 +245,7 @@ def analyse(question: str, answer: str | None) -> tuple[list[str], list[bool], l
             names += ["last", "end " + end]
         else:
             names.append("inner")
-        rows.append(names)
+        rows.append((names, set(words) - q_words))
         prose.append(sum(map(len, words)))
     return [p for p, _ in found], [c for _, c in found], rows, prose
 
@@ -294,13 +293,20 @@ def examples(rows: list[tuple[str, str, list[int]]]) -> Iterator[tuple[str, str,
                 yield other, answer, labels(other, answer)
 
 
+def known_ids(clause: tuple[list[str], set[str]], want: str, vocabulary: dict[str, dict[str, int]]) -> list[int]:
+    """Rows of the weights that a clause's features and words stand for; unknown ones have none."""
+    names, words = vocabulary.get("", {}), vocabulary.get(want) or vocabulary.get("none", {})
+    return [names[f] for f in clause[0] if f in names] + [words[u] for u in clause[1] if u in words]
+
+
 def defect(question: str, answer: str | None, model: Model) -> str | None:
     """The pair's first defect, from the share of the answer that each tag covers, or None. Exact checks confirm copies and cut endings."""
     parts, _, rows, prose = analyse(question, answer)
     if not parts:
         return "empty"
     vocabulary, w, tr = model
-    tags = crf.decode([[vocabulary[f] for f in names if f in vocabulary] for names in rows], w, tr)
+    want = asked(question)[0]
+    tags = crf.decode([known_ids(clause, want, vocabulary) for clause in rows], w, tr)
     cover = [0] * len(LABELS)
     foreign = 0
     for part, tag, letters in zip(parts, tags, prose, strict=True):
@@ -356,15 +362,27 @@ def labelled(pairs: DataFrame, most: int = FIT_PAIRS) -> DataFrame:
 def fit(pairs: DataFrame, most: int = FIT_PAIRS) -> Model:
     """Fit the field on the labelled sample; the driver sees no other pairs. Features seen once are left out."""
     rows = [(r.question, r.answer, list(r.tags)) for r in sorted(labelled(pairs, most).collect(), key=lambda r: (r.h, r.question, r.answer))]
-    known = [(analyse(q, a)[2], tags) for q, a, tags in examples(rows) if tags]
-    seen = Counter(f for names, _ in known for clause in names for f in clause)
-    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}
-    if not vocabulary:
+    known = [(asked(q)[0], analyse(q, a)[2], tags) for q, a, tags in examples(rows) if tags]
+    names = [[[*own, *(f"word {u}" for u in words), *(f"word {want} {u}" for u in words)] for own, words in clauses_] for want, clauses_, _ in known]
+    seen = Counter(f for clauses_ in names for clause in clauses_ for f in clause)
+    rows_of = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}
+    if not rows_of:
         return {}, np.zeros((0, len(LABELS))), np.zeros((len(LABELS), len(LABELS)))
-    ids = [[[vocabulary[f] for f in clause if f in vocabulary] for clause in names] for names, _ in known]
+    ids = [[[rows_of[f] for f in clause if f in rows_of] for clause in clauses_] for clauses_ in names]
     # Words speak for or against refusals, echoes and foreign prose; what an answer says, and where it was cut, can be any words.
-    free = np.array([[not f.startswith("word ") or k in (REFUSAL, ECHO, FOREIGN) for k in range(len(LABELS))] for f in vocabulary])
-    return vocabulary, *crf.fit(ids, [tags for _, tags in known], free)
+    free = np.array([[not f.startswith("word ") or k in (REFUSAL, ECHO, FOREIGN) for k in range(len(LABELS))] for f in rows_of])
+    w, tr = crf.fit(ids, [tags for *_, tags in known], free)
+    vocabulary: dict[str, dict[str, int]] = {"": {f: i for f, i in rows_of.items() if not f.startswith("word ")}}
+    table = [w]
+    words = {f.split(" ")[-1] for f in rows_of if f.startswith("word ")}
+    at = len(w)
+    for want in sorted({"none", *(want for want, *_ in known)}):
+        both = [(u, [rows_of[f] for f in (f"word {u}", f"word {want} {u}") if f in rows_of]) for u in sorted(words)]
+        both = [(u, own) for u, own in both if own]
+        vocabulary[want] = {u: at + i for i, (u, _) in enumerate(both)}
+        table.append(np.array([w[own].sum(axis=0) for _, own in both]).reshape(-1, len(LABELS)))
+        at += len(both)
+    return vocabulary, np.concatenate(table), tr
 
 
 def defects(pairs: DataFrame, model: Model) -> DataFrame:

@@ -97,7 +97,8 @@ def slots(sentence: str) -> list[int]:
 
 #: Judged documents that anchor the scale, at most: those of the smallest hash.
 ANCHORS = 5000
-TURNS = 2
+#: Turns at most, and the mean move of the words' difficulties (the scale reaches from -1 to 1) from which on they have settled.
+TURNS, SETTLED = 6, 0.025
 #: Sentences from which on a text is running prose.
 SEVERAL = 3
 #: Prior weight of a word's mean and of a sentence without telling words, and the least variance of a word's levels.
@@ -263,14 +264,28 @@ def _thresholds(prose: DataFrame, known: dict[int, float], model: Model) -> tupl
     return edge(low), edge(highs[len(highs) // 2])
 
 
-def fit(prose: DataFrame, known: dict[int, float], turns: int = TURNS) -> Model:
-    """Estimate words and sentences in turns. Each turn is a pass over all units; what comes to the driver has one row per word, bin or anchor."""
+def moved(old: Model, new: Model) -> float:
+    """How far the words' difficulties moved in a turn, each word counting by its information."""
+    total = new.information.sum()
+    return float((new.information * np.abs(new.difficulty - old.difficulty)).sum() / total) if total else 0.0
+
+
+def fit(prose: DataFrame, known: dict[int, float], turns: int = TURNS, settled: float = SETTLED) -> Model:
+    """Estimate words and sentences in turns, until the words' difficulties have settled or ``turns`` are done.
+
+    Each turn is a pass over all units; what comes to the driver has one row per word, bin or anchor.
+    """
     words = vocabulary(prose)
-    model = Model(*_word_turn(prose, known, words, None), words)
-    model = Model(model.difficulty, model.information, words, _scale(prose, model))
+
+    def scaled(difficulty: np.ndarray, information: np.ndarray) -> Model:
+        model = Model(difficulty, information, words)
+        return Model(difficulty, information, words, _scale(prose, model))
+
+    model = scaled(*_word_turn(prose, known, words, None))
     for _ in range(turns):
-        model = Model(*_word_turn(prose, known, words, model), words)
-        model = Model(model.difficulty, model.information, words, _scale(prose, model))
+        before, model = model, scaled(*_word_turn(prose, known, words, model))
+        if moved(before, model) <= settled:
+            break
     return Model(model.difficulty, model.information, words, model.scale, _thresholds(prose, known, model))
 
 

@@ -506,6 +506,24 @@ def test_held_out_judgements(spark):
     assert np.mean([reading.BANDS[int(known[i]) + 1] == got[i] for i in sure]) >= 0.8 and len(sure) > 15
 
 
+@needs_data
+def test_turns_help_where_few_documents_are_judged(spark):
+    root = "/root/testdata/sf0.1"
+    prose = reading.units(table(spark, root, "documents")).cache()
+    known = reading.anchors(table(spark, root, "reading_labels"))
+    ids = sorted(known, key=lambda i: hash((i, 7)))
+    random.Random(3).shuffle(ids)
+    bands = {-1.0: "basic", 0.0: "intermediate", 1.0: "advanced"}
+    held_out = {i: bands[known[i]] for i in ids[len(ids) // 2 :] if known[i] in bands}
+    hits = []
+    for turns in (0, reading.TURNS):
+        model = reading.fit(prose, {i: known[i] for i in ids[:12]}, turns)
+        got = {r.doc_id: r.band for r in reading.levels(prose, model).select("doc_id", "band").collect()}
+        hits.append(sum(got.get(i) == band for i, band in held_out.items()) / len(held_out))
+    prose.unpersist()
+    assert hits[1] > hits[0] + 0.05
+
+
 def test_reading_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "One line only."), (4, "The dog runs home. The cat sits here. We go out now. It is a red door."), (4, "The dog runs home. The cat sits here. We go out now. It is a red door."), (5, "The cat sits here. " * 20_000)]
     df = clashing(spark.createDataFrame(docs, "doc_id bigint, text string"), "chars", "sizes", "slots", "band", "level")

@@ -6,10 +6,8 @@ import itertools
 import random
 
 import duckdb
-import numpy as np
 import pytest
 
-from tesserae.llm import mixing, reading
 from tesserae.plans import registry
 
 RESULTS = "result_id bigint, run_label string, session_id string, turn_id int, no_citation boolean, cited_chunk_ids array<string>, latency struct<total_ms:double>"
@@ -72,22 +70,6 @@ def test_every_question_is_expanded_by_the_whole_dictionary(spark, tmp_path):
     }
 
 
-def test_a_long_border_records_gap_is_closed_by_few_lengths(spark):
-    schema = "source string, doc_id bigint, n_tokens bigint"
-    short = [("s", i, 12) for i in range(5000)]
-    order = mixing.token_streams(spark.createDataFrame(short, schema), buckets=5).orderBy("start").collect()
-    long = order[100].doc_id
-    sizes = spark.createDataFrame([(s, i, 30_000 if i == long else n) for s, i, n in short], schema)
-    targets = spark.createDataFrame([("m", "s", 1.0, 1, 1200 + 29_999), ("n", "s", 1.0, 1, 1200 + 30_000)], "mix_name string, source string, target_share double, max_repeats int, total_tokens bigint")
-    streams = mixing.token_streams(sizes, buckets=5).cache()
-    quota = mixing.small(mixing.quotas(streams, targets))
-    chosen = mixing.select(streams, quota)
-    got = {r.mix_name: r.tokens for r in mixing.shares(chosen, quota).collect()}
-    assert got == {"m": 1200 + 29_988, "n": 1200 + 30_000}
-    taken = sorted((r.last_start, r.n_tokens) for r in chosen.where("mix_name = 'm'").collect())
-    assert [p for p, _ in taken] == list(range(0, 1200 + 29_988, 12))
-
-
 def test_more_than_a_thousand_runs_are_counted(spark, tmp_path):
     turns = [(i, "q", "", []) for i in range(4)]
     kind = "session_id string, turns array<struct<turn_id:int, question:string, reference_answer:string, reference_chunk_ids:array<string>>>"
@@ -106,13 +88,3 @@ def test_titles_with_the_lists_own_marks_have_rows(spark, tmp_path):
     con.execute(f"create view documents as select * from '{root}/documents.parquet/*.parquet'")
     assert len(got) == len(rows) and got == sorted(con.execute(registry.oracle_sql()["src_05_06_url_lists_all"]).fetchall(), key=str)
     assert {r[2] for r in got} >= {"a ［b］ c", "［x］(http://y.z)", "a ｜ b", "＃ head", "none", "a b", "C#", "＃", None}
-
-
-def test_every_word_has_a_parameter_of_its_own(spark):
-    words = ["".join(w) for w in itertools.product("abcdefghijklmnopqr", repeat=4)][:60_000]
-    assert len({reading.token_slots(w)[0] for w in words}) == len(words)
-    docs = [(i, ". ".join(" ".join(words[j : j + 6]) for j in range(i * 600, i * 600 + 600, 6)) + ".") for i in range(100)]
-    model = reading.fit(reading.units(spark.createDataFrame(docs, "doc_id bigint, text string")).cache(), {i: float(i % 3 - 1) for i in range(100)})
-    assert len(words) <= len(model.vocabulary) <= len(words) + 40
-    at = reading.indices(model.vocabulary, np.array([reading.token_slots(words[i * 600 + 7])[0][0] for i in range(100)]))
-    assert all(np.sign(model.difficulty[k]) == i % 3 - 1 or i % 3 == 1 for i, k in enumerate(at))

@@ -10,7 +10,7 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(sequences: list[list[list[int]]], tags: list[list[int]], free: np.ndarray, rounds: int = 60, rate: float = 0.3, ridge: float = 1e-6, most: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def fit(sequences: list[list[list[int]]], tags: list[list[int]], free: np.ndarray, rounds: int = 40, rate: float = 0.3, ridge: float = 1e-6, most: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features (features x labels) and of transitions, by Adam on the mean log-likelihood with a ridge.
 
     A sequence is a list of positions, each a list of the features it has; ``free`` (features x labels) says which weights may differ from 0. Sequences of over ``most``
@@ -22,8 +22,14 @@ def fit(sequences: list[list[list[int]]], tags: list[list[int]], free: np.ndarra
     live = np.arange(t)[None, :] < np.array([len(s) for s, _ in parts])[:, None]
     cell = np.flatnonzero(live.ravel())
     held = [ids for s, _ in parts for ids in s]
+    sizes = np.array([len(ids) for ids in held])
     feature = np.fromiter((f for ids in held for f in ids), dtype=np.int64)
-    place = np.repeat(cell, [len(ids) for ids in held])
+    place = np.repeat(cell, sizes)
+    # Sums over the features of a cell and over the cells of a feature, each over stretches of one sorted list.
+    filled, cell_starts = cell[sizes > 0], np.r_[0, sizes[sizes > 0].cumsum()[:-1]]
+    by_feature = np.argsort(feature, kind="stable")
+    used, feature_starts = np.unique(feature[by_feature], return_index=True)
+    place_by_feature = place[by_feature]
     y = np.zeros((n * t, n_labels))
     y[cell, np.array([v for _, ys in parts for v in ys])] = 1
     y = y.reshape(n, t, n_labels)
@@ -31,7 +37,9 @@ def fit(sequences: list[list[list[int]]], tags: list[list[int]], free: np.ndarra
     w, tr = np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels))
     moment = [np.zeros_like(w), np.zeros_like(tr)], [np.zeros_like(w), np.zeros_like(tr)]
     for step in range(1, rounds + 1):
-        e = np.stack([np.bincount(place, weights=w[feature, k], minlength=n * t) for k in range(n_labels)], axis=1).reshape(n, t, n_labels)
+        e = np.zeros((n * t, n_labels))
+        e[filled] = np.add.reduceat(w[feature], cell_starts, axis=0)
+        e = e.reshape(n, t, n_labels)
         alpha, beta = np.zeros((n, t, n_labels)), np.zeros((n, t, n_labels))
         alpha[:, 0] = e[:, 0]
         for k in range(1, t):
@@ -41,7 +49,9 @@ def fit(sequences: list[list[list[int]]], tags: list[list[int]], free: np.ndarra
         z = _logsumexp(alpha[:, -1], axis=1)
         node = np.where(live[..., None], np.exp(alpha + beta - z[:, None, None]), 0.0)
         miss = (y - node).reshape(n * t, n_labels)
-        gw = np.stack([np.bincount(feature, weights=miss[place, k], minlength=n_features) for k in range(n_labels)], axis=1) / n * free - ridge * w
+        gw = np.zeros_like(w)
+        gw[used] = np.add.reduceat(miss[place_by_feature], feature_starts, axis=0)
+        gw = gw / n * free - ridge * w
         edge = alpha[:, :-1, :, None] + tr[None, None] + (e + beta)[:, 1:, None, :] - z[:, None, None, None]
         edge = np.where(live[:, 1:, None, None], np.exp(np.minimum(edge, 0)), 0.0).sum(axis=(0, 1))
         gt = (pairs - edge) / n - ridge * tr

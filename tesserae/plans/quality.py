@@ -173,10 +173,10 @@ def smp_08_token_faults(spark: SparkSession, root: str) -> DataFrame:
     return sampling.token_faults(lines, "doc_id", "tokens", 128, 20_000)
 
 
-@query("""select variant_name, position, count(*) as n, count(distinct session_id) as sessions from predictions join (values ('photon', 0), ('baseline', 1), ('grid_small', 2)) v(variant_name, position) using (variant_name) group by all""")
+@query("""select variant_name, position, count(*) as n, count(distinct session_id) as sessions from predictions join (values ('baseline_summary', 0), ('baseline', 1), ('grid_small', 2)) v(variant_name, position) using (variant_name) group by all""")
 def smp_12_chosen_variants(spark: SparkSession, root: str) -> DataFrame:
     """Rows of the variants asked for, in the order asked."""
-    chosen = sampling.chosen_variants(table(spark, root, "predictions"), "variant_name", "photon, baseline,grid_small")
+    chosen = sampling.chosen_variants(table(spark, root, "predictions"), "variant_name", "baseline_summary, baseline,grid_small")
     return chosen.groupBy("variant_name", "position").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 from tesserae.operators import chunking, citations, evidence, index, retrieval, sampling, sessions
 from tesserae.operators.selection import POSITIONS, percentiles
+from tesserae.plans import registry
 from tesserae.sources import files as src
 from tesserae.streaming.events import streamed_segments
 
@@ -107,6 +108,64 @@ def test_bm25_matches_plain(spark):
     assert all(q == 1 for q, _ in got)
 
 
+def test_bm25_topk_in_blocks(spark):
+    """The blocked search ranks as all scores do, ties by place included, whatever the blocks."""
+    random.seed(2)
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    rows = [(i, f"p{i % 3}", " ".join(random.choices(words, k=i % 5))) for i in range(60)]
+    texts = spark.createDataFrame(rows, "chunk_no bigint, path string, text string")
+    tokens = index.tokenised(texts, "chunk_no", F.col("text"), "path").cache()
+    posts = index.postings_of(tokens, "chunk_no")
+    terms, lengths = index.term_statistics(posts, F.lit(len(rows))), index.length_statistics(texts, F.col("text"))
+    queries = spark.createDataFrame([(1, "alpha beta beta"), (2, "unknown"), (3, None), (4, "delta"), (5, "eps gamma alpha")], "query_id bigint, query string")
+    every = retrieval.bm25_scores(queries, posts, terms, lengths, "chunk_no").join(texts.drop("text"), "chunk_no").withColumn("score", F.round("score", 6))
+    want = retrieval.top_k(every, 7, ["query_id"], [F.desc("score"), F.asc("path"), F.asc("chunk_no")]).select("query_id", "chunk_no", "path", "score", "rank").collect()
+    for blocks in ({}, {"query_block": 2, "text_block": 7}):
+        got = retrieval.bm25_topk(queries, tokens, terms, lengths, "chunk_no", 7, ("path",), **blocks).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 21
+    assert retrieval.bm25_topk(queries, tokens.limit(0), terms, lengths, "chunk_no", 7).count() == 0
+
+
+def test_token_vectors_match_postings(spark):
+    texts = spark.createDataFrame([(1, "alpha beta beta"), (2, ""), (3, "検索エンジン and more"), (4, None)], "chunk_no bigint, text string")
+    tokens = index.tokenised(texts, "chunk_no", F.col("text"))
+    want = {r.chunk_no: r.vector for r in index.vectors_of(index.postings_of(tokens, "chunk_no"), "chunk_no").collect()}
+    got = {r.chunk_no: r.vector for r in index.token_vectors(tokens, "chunk_no").collect()}
+    assert got.keys() == want.keys() == {1, 3} and all(math.isclose(a, b) for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def shuffled(spark, work) -> int:
+    """Rows that ``work`` writes to shuffles."""
+    sc = spark.sparkContext
+    store, bus = sc._jsc.sc().statusStore(), sc._jsc.sc().listenerBus()
+
+    def written() -> int:
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    work()
+    return written() - before
+
+
+def test_searches_shuffle_no_pairs(spark, tmp_path):
+    """All questions share a token with all chunks, and yet no row per pair of them is shuffled."""
+    n = 400
+    chunks = spark.range(n).select(
+        F.col("id").alias("chunk_no"), F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("r").alias("repo_id"), F.lit("x").alias("repo_commit"), F.concat(F.lit("f"), "id").alias("rel_path"), F.lit("python").alias("language"),
+        F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.concat(F.lit("common word"), "id").alias("content"), F.array().cast("array<string>").alias("symbols"), F.lit(None).cast("string").alias("section_header"),
+    )
+    turn = F.struct(F.lit(1).alias("turn_id"), F.concat(F.lit("common question"), "id").alias("question"))
+    chunks.write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.range(n).select(F.concat(F.lit("s"), "id").alias("session_id"), F.array(turn).alias("turns")).write.parquet(f"{tmp_path}/eval_sessions.parquet")
+    spark.range(n).select((F.col("id") * 50).alias("result_id"), F.concat(F.lit("s"), "id").alias("session_id"), F.lit(1).alias("turn_id")).write.parquet(f"{tmp_path}/query_results.parquet")
+    for name, k in (("ret_01_bm25_topk", 10), ("ret_05_hybrid_fusion", 20)):
+        rows = []
+        assert shuffled(spark, lambda: rows.extend(registry.queries()[name](spark, str(tmp_path)).collect())) < n * n * 0.8
+        assert len(rows) == n * k
+
+
 def test_dense_blocks_agree(spark):
     random.seed(1)
     rows = [(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(60)]

@@ -234,6 +234,15 @@ def test_lone_answers_take_the_likeliest_question(spark):
     assert said[1] == ("assistant", "It starts `runJob`.", 1) and len(said) == 4
 
 
+def test_questions_follow_by_number_alone(spark):
+    """Links between turns need no times; a turn follows the answered turn before it, across blocks too, and never one further back."""
+    b = conversations.BLOCK
+    rows = [("s", b - 2, "q", "a"), ("s", b - 1, "q", "a"), ("s", b, "q", None), ("s", b + 1, "q", "a"), ("s", b + 3, "q", "a"), ("s", b + 4, None, "a"), ("s", None, "q", "a")]
+    turns = spark.createDataFrame(rows, "session_id string, turn_id bigint, q string, a string")
+    turns = turns.select("session_id", "turn_id", F.when(F.col("q").isNotNull(), F.struct("q")).alias("question"), F.when(F.col("a").isNotNull(), F.struct("a")).alias("reply"))
+    assert {r.turn_id: r.parent for r in conversations.follow(turns).collect()} == {b - 2: None, b - 1: b - 2, b: b - 1, b + 1: None, b + 3: None, b + 4: None, None: None}
+
+
 def test_conversation_edge_cases(spark):
     rows = [
         ("ok", 1, "q one", None, "2025-01-01 00:00:00"), ("ok", 1, None, "a one", "2025-01-01 00:00:05"), ("ok", 2, " q two ", "a two", "2025-01-01 00:01:00"), ("ok", 2, "q two", "another", "2025-01-01 00:02:00"), ("ok", 2, "q two", "a two", "2025-01-01 00:03:00"),

@@ -149,6 +149,21 @@ def shuffled(spark, work) -> int:
     return written() - before
 
 
+def test_searches_read_items_in_place(spark):
+    """Texts and vectors are met where they are read: only what is found goes through a shuffle."""
+    n = 500
+    texts = spark.range(n).select(F.col("id").alias("chunk_no"), F.concat(F.lit("word"), "id").alias("text"))
+    tokens = index.tokenised(texts, "chunk_no", F.col("text")).cache()
+    terms = index.term_statistics(index.postings_of(tokens, "chunk_no"), F.lit(n)).where("token in ('word3', 'word5')").cache()
+    lengths = index.length_statistics(texts, F.col("text")).cache()
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector")).cache()
+    counted = [tokens.count(), terms.count(), lengths.count(), items.count()]
+    assert counted == [n, 2, 1, n]
+    queries = spark.createDataFrame([(1, "word3 word5")], "query_id bigint, query string")
+    assert shuffled(spark, lambda: retrieval.bm25_topk(queries, tokens, terms, lengths, "chunk_no", 2).collect()) < 100
+    assert shuffled(spark, lambda: retrieval.dense_topk(items.where("item_id = 7").withColumnRenamed("item_id", "query_id"), items, 2).collect()) < 100
+
+
 def test_searches_shuffle_no_pairs(spark, tmp_path):
     """All questions share a token with all chunks, and yet no row per pair of them is shuffled."""
     n = 400

@@ -16,6 +16,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ ENDED = re.compile(r"[。.!?！？][」』)\"'*_]*$")
 SPAN = re.compile(r"`[^`\n]*`|https?://\S+|\w[\w.-]*/[\w./-]+")
 INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 TOKEN = re.compile(r"[a-zà-öø-ÿß]+|[一-鿿]+|[ァ-ヺー]+|[ぁ-ゖ]+")
+TOKEN_OR_END = re.compile(TOKEN.pattern + "|\n")
 CODE_MARK = re.compile(r"[{};]|=>|\w\(|==|&&|\|\|")
 
 
@@ -78,21 +80,70 @@ def token_slots(token: str) -> tuple[tuple[int, ...], float]:
     return (word_hash(token),), max(1.0, len(token) / 2)
 
 
+class Slots(dict):
+    """Of each token met so far its number, of each number the hashes that ``token_slots`` gives it, the words it stands for and its script."""
+
+    def __init__(self) -> None:
+        self["\n"] = 0
+        self.hashes, self.words, self.japanese = [[]], [0.0], [False]
+
+    def __missing__(self, token: str) -> int:
+        own, n = token_slots(token)
+        self.hashes.append(list(own))
+        self.words.append(n)
+        self.japanese.append(token[0] > "\u3000")
+        self[token] = len(self.words) - 1
+        return self[token]
+
+
+#: Hashes of a sentence's features, by script.
+LONG, WIDE = (np.array([[token_slots(f"{mark}{script}{i}")[0][0] for i in range(n)] for script in "lj"]) for mark, n in (("\x00", 17), ("\x01", 10)))
+#: Distinct tokens that a table of numbers holds at most before a new one is begun, and characters cut into tokens at once.
+MOST_TOKENS, MOST_CHARS = 1 << 16, 1 << 20
+
+
+def slots_of(found: list[str], table: Slots) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed distinct words of sentences, which hold no line ends, one sentence after the other, and how many each has: none if it has too few words to be one."""
+    plain = "\n".join([SPAN.sub(" ", s) if "`" in s or "/" in s else s for s in found]).lower()
+    at = np.array(list(map(table.__getitem__, TOKEN_OR_END.findall(plain))), dtype=np.int64)
+    of = np.cumsum(at == 0)[at > 0]
+    at = at[at > 0]
+    n = np.bincount(of, np.array(table.words)[at], len(found))
+    chars = np.array([len(s) for s in plain.split("\n")])
+    some = n >= 2.5
+    # Features of each sentence: its script and length, and its script and the length of its words.
+    ends, i = np.searchsorted(of, np.arange(len(found)), "right") - 1, np.flatnonzero(some)
+    script = np.array(table.japanese)[at[ends[i]]].astype(int)
+    long, wide = np.minimum(np.sqrt(n[i]) * 2, 16).astype(int), np.minimum(chars[i] / n[i], 9).astype(int)
+    # Numbers of all hashes, so that one sort of whole numbers finds the distinct words of every sentence.
+    many = np.array([len(h) for h in table.hashes])
+    known, number = np.unique(np.array([*LONG.ravel(), *WIDE.ravel(), *(h for own in table.hashes for h in own)], dtype=np.int64), return_inverse=True)
+    own, starts = number[LONG.size + WIDE.size :], np.cumsum(many) - many
+    kept = some[of]
+    of, at = of[kept], at[kept]
+    each = many[at]
+    words = own[np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+    keys = np.concatenate([np.repeat(of, each) * len(known) + words, i * len(known) + number[script * LONG.shape[1] + long], i * len(known) + number[LONG.size + script * WIDE.shape[1] + wide]])
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    return known[keys % len(known)], np.bincount(keys // len(known), minlength=len(found))
+
+
+def pieces(found: list[str], most: int = MOST_CHARS) -> Iterator[list[str]]:
+    """Sentences in runs that end with the one that reaches ``most`` characters."""
+    start, n = 0, 0
+    for i, sentence in enumerate(found, 1):
+        n += len(sentence)
+        if n >= most:
+            yield found[start:i]
+            start, n = i, 0
+    if start < len(found) or not found:
+        yield found[start:]
+
+
 def slots(sentence: str) -> list[int]:
     """Hashed distinct words of a sentence, or none if it has too few to be one."""
-    plain = (SPAN.sub(" ", sentence) if "`" in sentence or "/" in sentence else sentence).lower()
-    found: set[int] = set()
-    n, tokens = 0.0, TOKEN.findall(plain)
-    for token in tokens:
-        own, words = token_slots(token)
-        found.update(own)
-        n += words
-    if n < 2.5:
-        return []
-    script = "j" if tokens[-1][0] > "\u3000" else "l"
-    for feature in (f"\x00{script}{min(int(n**0.5 * 2), 16)}", f"\x01{script}{min(int(len(plain) / n), 9)}"):
-        found.update(token_slots(feature)[0])
-    return list(found)
+    return slots_of([sentence.replace("\n", " ")], Slots())[0].tolist()
 
 
 #: Judged documents that anchor the scale, at most: those of the smallest hash.
@@ -129,18 +180,20 @@ def units(documents: DataFrame) -> DataFrame:
     """Per document the characters of its sentences, and the hashed words of each, whole texts read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Slots()
         for batch in batches:
-            chars, sizes, words, n_sentences, n_words = [], [], [], [0], [0]
-            for text in batch.column(1).to_pylist():
-                for sentence in sentences(text):
-                    own = slots(sentence)
-                    if own:
-                        chars.append(len(sentence))
-                        sizes.append(len(own))
-                        words += own
-                n_sentences.append(len(chars))
-                n_words.append(len(words))
-            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(np.array(x, dtype=kind))) for o, x, kind in ((n_sentences, chars, np.int32), (n_sentences, sizes, np.int32), (n_words, words, np.int64))]
+            per = [sentences(text) for text in batch.column(1).to_pylist()]
+            found = [s for own in per for s in own]
+            parts = []
+            for piece in pieces(found):
+                table = table if len(table) < MOST_TOKENS else Slots()
+                parts.append(slots_of(piece, table))
+            words, sizes = (np.concatenate(x) for x in zip(*parts))
+            some = sizes > 0
+            of_doc = np.repeat(np.arange(len(per)), [len(own) for own in per])
+            ends = [np.concatenate([[0], np.cumsum(np.bincount(of_doc, w, len(per)).astype(np.int64))]) for w in (some, sizes)]
+            chars = np.array([len(s) for s in found], dtype=np.int32)[some]
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(x)) for o, x in ((ends[0], chars), (ends[0], sizes[some].astype(np.int32)), (ends[1], words))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "chars", "sizes", "slots"])
 
     return documents.select("doc_id", "text").mapInArrow(run, UNITS)
@@ -167,8 +220,7 @@ def indices(known: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Where words stand in a sorted vocabulary, at its length if they don't."""
     if not len(known):
         return np.zeros(len(words), dtype=np.int64)
-    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    return np.where(known[at] == words, at, len(known))
+    return pc.fill_null(pc.index_in(pa.array(words), value_set=pa.array(known)), len(known)).to_numpy().astype(np.int64)
 
 
 def _unpacked(batch: pa.RecordBatch, known: dict[int, float], words_known: np.ndarray) -> tuple[np.ndarray, ...]:

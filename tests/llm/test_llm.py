@@ -495,6 +495,29 @@ def test_splitting_tree_keeps_quotas(spark):
 
 # 9: reading level
 
+def test_reading_words_of_many_sentences():
+    """Sentences cut into words together have those of each alone, whatever came before them."""
+    found = ["The ledger keeps `a b` every row.", "Yes.", "", "検索の結果はログに残ります。", "See https://x.y/z or a/b for the old plan.", "The ledger keeps every row of the ledger.", "ΟΔΟΣ ist lang und straße breit."]
+
+    def plain(sentence: str) -> set[int]:
+        text = reading.SPAN.sub(" ", sentence).lower()
+        tokens = reading.TOKEN.findall(text)
+        n = sum(reading.token_slots(t)[1] for t in tokens)
+        if n < 2.5:
+            return set()
+        script = "j" if tokens[-1][0] > "\u3000" else "l"
+        features = [f"\x00{script}{min(int(n**0.5 * 2), 16)}", f"\x01{script}{min(int(len(text) / n), 9)}"]
+        return {h for t in [*tokens, *features] for h in reading.token_slots(t)[0]}
+
+    table = reading.Slots()
+    for many in (found, found[::-1], found * 3):
+        parts = [reading.slots_of(piece, table) for piece in reading.pieces(many, 60)]
+        words, sizes = (np.concatenate(x) for x in zip(*parts))
+        ends = np.cumsum(sizes)
+        assert [sorted(words[e - n : e].tolist()) for e, n in zip(ends, sizes)] == [sorted(plain(s)) for s in many]
+    assert len(parts) > 1 and [len(x) for x in reading.slots_of([], table)] == [0, 0]
+
+
 def test_sentences():
     text = "# Title\n\nThe note is here. You can read it!\n\n| a | b |\n|---|---|\n\n```\nx = 1.\n```\n2025-03-23 09:24:02 INFO A.b rows=1.\n- これは文です。次の文です。\n> Look at\n> the list.\nkey: value\n"
     assert reading.sentences(text) == ["The note is here.", "You can read it!", "これは文です。", "次の文です。", "the list."]
